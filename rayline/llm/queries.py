@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .ngram_join import Law, jaccard_components
 
@@ -14,6 +15,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file, read on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the word tokenizer and the text decoded from them, as digests."""
+    return bpe_encode(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), digests=True)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 85 % of their distinct 4-word shingles."""
     return jaccard_components(_documents(spark, sf_dir), Law(words=4, num=85, den=100))
@@ -26,6 +39,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_bpe_encode": op5_bpe_encode,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
     }
