@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .ngram_join import Law, jaccard_components
+from .sharding import rendezvous_shards
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +24,21 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 equal shards by rendezvous hashing, and with one shard more."""
+    return rendezvous_shards(_documents(spark, sf_dir), 24)
+
+
 def op5_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the word tokenizer and the text decoded from them, as digests."""
     return bpe_encode(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), digests=True)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of as many words as all documents have, sources weighted 1, 2, 3 and taken three times at most."""
+    return mix(_documents(spark, sf_dir), weights=(1, 2, 3), cap=3)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 85 % of their distinct 4-word shingles."""
     return jaccard_components(_documents(spark, sf_dir), Law(words=4, num=85, den=100))
@@ -39,7 +51,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op5_bpe_encode": op5_bpe_encode,
+        "op7_source_mixing": op7_source_mixing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
     }
