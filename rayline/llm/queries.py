@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .language_id import held_out_predictions
 from .mixing import mix
 from .ngram_join import Law, jaccard_components
 from .sharding import rendezvous_shards
@@ -29,6 +30,11 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous_shards(_documents(spark, sf_dir), 24)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labels of two thirds of them."""
+    return held_out_predictions(_documents(spark, sf_dir))
+
+
 def op5_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the word tokenizer and the text decoded from them, as digests."""
     return bpe_encode(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), digests=True)
@@ -52,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
+        "op4_language_id": op4_language_id,
         "op5_bpe_encode": op5_bpe_encode,
         "op7_source_mixing": op7_source_mixing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
