@@ -6,8 +6,8 @@ of the matrix with its transpose holds the overlap of each pair; most of it is n
 * Columns are ordered by hash.  Two sets that reach the threshold share at least k of the first
   ``size - least overlap + k`` columns of each, so only these leading columns are looked at first.  A row survives if
   enough of its leading columns occur in another row too; the bound follows from its size alone.
-* Surviving rows are cut into families, connected by shared leading columns.  Rows of different families have no
-  product worth forming.
+* Surviving rows are cut into families, connected by shared leading columns; the most frequent of a row's columns may
+  be left out here, by the same count.  Rows of different families have no product worth forming.
 * A family is multiplied in blocks of bounded size.  Large families are cut by size class and hash, and only block
   pairs whose size classes can reach the threshold are multiplied.  A block's overlaps are accumulated column by
   column, pairs below the bound given by their sizes are discarded, and what leaves the task is a spanning star of
@@ -30,6 +30,8 @@ from .common import Batches, as_bytes, checkpointed, gated, long_column, text_ba
 from .components import components
 
 NO_ID = -(2**63)
+#: One in so many of a set's shingles is looked at beyond what one shared leading column would need.
+SPARE = 10
 #: Known words a worker remembers before it starts again.
 WORDS_KEPT = 1_000_000
 #: Bounds of one side of a block: rows, and entries of these rows.
@@ -55,15 +57,11 @@ class Law:
 
     def spare(self, n: int) -> int:
         """How many leading columns a set of n shingles has to share with a partner of its own size."""
-        return n // 50 + 1
+        return n // SPARE + 1
 
     def lead(self, n: int) -> int:
         return min(n, n - self.least(n) + self.spare(n))
 
-    def shared(self, n: int) -> int:
-        """How many leading columns it has to share with any partner; the smallest partner needs least."""
-        return self.spare(self.least(n))
-
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -238,27 +236,28 @@ def jaccard_components(df: DataFrame, law: Law = Law(), id_col: str = "doc_id",
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = checkpointed(texts.mapInArrow(_sets(law, whole=False), SETS).withColumn("row", F.monotonically_increasing_id()))
 
-    # Rows that share enough of their leading columns with any other row.
+    # Rows that share enough of their leading columns with any other row.  Of these columns, all but the last
+    # `shared - 1` in order of frequency suffice: partners share one of them at least, and frequent columns stay out.
     entries = docs.select("row", F.explode("cols").alias("h"))
-    repeated = entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h")
-    met = entries.join(repeated, "h").groupBy("row").agg(F.count("*").alias("met"))
-    least = F.floor(F.ceil(F.col("n") * law.num / law.den) / 50) + 1
+    repeated = entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = entries.join(repeated, "h").groupBy("row").agg(F.collect_list(F.struct("rows", "h")).alias("met"))
+    shared = F.floor(F.ceil(F.col("n") * law.num / law.den) / SPARE).cast("int") + 1
     small = docs.select("row", "doc_id", "n", "digest")
-    surviving = checkpointed(small.join(met, "row").where(F.col("met") >= least).select("doc_id", "n", "digest"))
+    surviving = small.join(met, "row").where(F.size("met") >= shared)
+    rare = F.slice(F.sort_array("met"), F.lit(1), F.size("met") - shared + 1)["h"]
     # One row stands for all rows of an equal set.
-    heads = checkpointed(surviving.groupBy("digest").agg(F.min("doc_id").alias("head")).withColumn("node", F.xxhash64("digest")))
-
-    wanted = gated(heads.select(F.col("head").alias("_head")).distinct())
-    whole = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_head")), "left_semi").mapInArrow(_sets(law, whole=True), SETS)
-    sets = checkpointed(whole.where("digest is not null").dropDuplicates(["digest"]).join(heads.select("digest", "node"), "digest").select("node", "n", "cols"))
+    alike = surviving.select("doc_id", "n", "digest", rare.alias("rare")).groupBy("digest")
+    heads = checkpointed(alike.agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("rare").alias("rare")).withColumn("node", F.xxhash64("digest")))
 
-    lead = F.slice("cols", 1, (F.col("n") - F.ceil(F.col("n") * law.num / law.den) + 1).cast("int"))
-    columns = checkpointed(sets.select("node", F.explode(lead).alias("h")))
+    columns = heads.select("node", F.explode("rare").alias("h"))
     centres = columns.groupBy("h").agg(F.min("node").alias("centre"), F.count("*").alias("rows")).where("rows > 1").select("h", "centre")
     families = components(columns.join(centres, "h").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    members = checkpointed(heads.select("node", "n", "digest", "head").join(families.select("node", F.col("label").alias("family")), "node"))
 
-    members = checkpointed(sets.select("node", "n").join(families.select("node", F.col("label").alias("family")), "node"))
-    blocks = sets.select("node", "cols").join(_blocks(members, law), "node").repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
+    wanted = gated(members.select(F.col("head").alias("_head")).distinct())
+    whole = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_head")), "left_semi").mapInArrow(_sets(law, whole=True), SETS)
+    sets = whole.where("digest is not null").join(members.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "cols")
+    blocks = sets.join(_blocks(members.select("node", "n", "family"), law), "node").repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
     groups = components(blocks.select("family", "left", "right", "node", "cols").mapInArrow(_products(law), "a long, b long"))
 
     # Components of sets, named by the smallest identifier of all rows that have one of the sets.
