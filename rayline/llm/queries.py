@@ -11,6 +11,8 @@ from .exact_dedup import exact_dedup
 from .language_id import held_out_predictions
 from .mixing import mix
 from .ngram_join import Law, jaccard_components
+from .pii import personal_data
+from .quality import judged
 from .sharding import rendezvous_shards
 
 
@@ -25,6 +27,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return personal_data(_documents(spark, sf_dir))
+
+
+def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failed rules and the current policy's verdict for every document."""
+    return judged(_documents(spark, sf_dir))
+
+
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 equal shards by rendezvous hashing, and with one shard more."""
     return rendezvous_shards(_documents(spark, sf_dir), 24)
@@ -57,6 +69,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_anchors": op1_pii_anchors,
+        "op2_quality_ledger": op2_quality_ledger,
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op4_language_id": op4_language_id,
         "op5_bpe_encode": op5_bpe_encode,
