@@ -14,6 +14,7 @@ from .ngram_join import Law, jaccard_components
 from .pii import personal_data
 from .quality import judged
 from .sharding import rendezvous_shards
+from .token_file import token_round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), Law(words=4, num=85, den=100))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' places in token files of the byte tokenizer, read back from the files."""
+    return token_round_trip(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end=2)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts after white space is normalised."""
     return exact_dedup(_documents(spark, sf_dir))
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe_encode": op5_bpe_encode,
         "op7_source_mixing": op7_source_mixing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_token_files": op9_token_files,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
