@@ -1,0 +1,228 @@
+"""PII, quality, language and tokenizers against brute-force versions."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from rayline.llm import bpe, language_id, pii, quality, token_file
+from rayline.llm.elias_fano import EliasFano
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD_ROWS = [(1, "a b c"), (None, None), (2, ""), (2, "a b c"), (3, "x" * 50_000), (4, "é " * 5000), (5, " \n\t ")]
+CLASHING = "doc_id long, text string, n_words string, spans string, lang string, source string, row string, h string, block string"
+
+
+def odd_table(spark, rows=ODD_ROWS):
+    return spark.createDataFrame([(i, t, "x", "y", None, None, "r", "h", "b") for i, t in rows], CLASHING)
+
+
+def digits(text):
+    return re.sub("[^0-9]", "", text)
+
+
+def spans_by_pattern(text):
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    return {
+        "email": [m.span() for m in email.finditer(text)],
+        "ip": [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))],
+        "card": [m.span() for m in card.finditer(text) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))],
+        "phone": [m.span() for m in phone.finditer(text) if 9 <= len(digits(m[0])) <= 15],
+    }
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(*(st.text(a, max_size=60) for a in ("ab.@-1", "0123.5 ", "0123456789 -", "+123 ().-45", "ab@.+1-é :/"))))
+def test_pii_spans_are_those_of_the_patterns(text):
+    found = pii.find(text, pii.anchors())
+    assert {k: found[k] for k in pii.BASE} == spans_by_pattern(text)
+
+
+def test_pii_added_kinds():
+    text = "IBAN: GB82 WEST 1234 5698 7654 32 now, SSN 123-45-6789; ftp://joe:pw@host.org/x, IBAN GB83WEST12345698765432"
+    found = pii.find(text, pii.anchors())
+    assert [text[s:e] for s, e in found["iban"]] == ["GB82 WEST 1234 5698 7654 32"]
+    assert [text[s:e] for s, e in found["ssn"]] == ["123-45-6789"]
+    assert [text[s:e] for s, e in found["login"]] == ["ftp://joe:pw@"]
+
+
+def test_pii_query(spark):
+    rows = [*ODD_ROWS, (6, "mail a.b@c.de or +49 30 1234567, 10.0.0.1, 4111 1111 1111 1111 é")]
+    got = {(r["doc_id"], r["spans"]): r for r in pii.personal_data(odd_table(spark, rows)).collect()}
+    assert len(got) == 7  # the repeated row is equal to itself
+    text = rows[-1][1]
+    base = ",".join(f"{k}:{s}:{e}" for k, spans in spans_by_pattern(text).items() for s, e in spans)
+    row = got[6, base]
+    assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (1, 1, 1, 1)
+    assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert got[None, ""]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert pii.personal_data(odd_table(spark, [])).count() == 0
+
+
+def measured_plainly(text):
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    inside = {i + j for i, w in enumerate(windows) if counts[w] > 1 for j in range(3)}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab é\n\t#|\x0b\xa0", max_size=80))
+def test_quality_measures(text):
+    assert quality.measure(text.encode())[:5] == measured_plainly(text)
+
+
+def test_quality_ledger_policies_and_ablations(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [*ODD_ROWS, (7, good), (8, good + " $$$" * 40), (9, "a b c d " * 30)]
+    out = {r["doc_id"]: r for r in quality.judged(odd_table(spark, rows)).collect()}
+    assert out[7]["kept"] and not out[7]["base_failed"]
+    assert not out[8]["kept"] and not out[8]["base_failed"] and out[8]["rule_bits"] & quality.mask("symbols")
+    assert out[9]["base_failed"] and out[2]["n_words"] in (0, 3) and out[None]["rule_bits"] == quality.mask("few_words")
+    book = quality.ledger(odd_table(spark, rows))
+    cut = {r["rule"]: r for r in quality.ablations(book).collect()}
+    bits = [r["rule_bits"] for r in book.collect()]
+    for i, rule in enumerate(quality.RULES):
+        assert cut[rule.name]["failed"] == sum(b >> i & 1 for b in bits)
+        assert cut[rule.name]["failed_alone"] == sum(b == 1 << i for b in bits)
+        assert cut[rule.name]["kept_without"] == sum(b & ~(1 << i) == 0 for b in bits)
+    assert quality.judged(odd_table(spark, [])).count() == 0
+
+
+def test_language_held_out_accuracy_and_odd_rows(spark):
+    random.seed(5)
+    stock = {"aa": ["kala", "mala", "tunu", "reki"], "bb": ["strom", "zwei", "schloss", "kopf"]}
+    rows = [(i, " ".join(random.choice(stock[lang]) + random.choice(["", "s", "en"]) for _ in range(30)), lang) for i in range(300) for lang in [["aa", "bb"][i % 2]]]
+    rows += [(900, None, "aa"), (901, "123 ²³ !", "bb"), (902, "", None), (None, "kala mala", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.held_out_predictions(df).collect()}
+    held = [r for r in rows[:300] if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in rows[:300])
+    assert np.mean([got[i]["lang_pred"] == lang for i, _, lang in held]) > 0.97
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902)) and got[None]["lang_pred"] == "aa" and not got[None]["held_out"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    model = language_id.fit(df)
+    assert language_id.keep_identified(df, model).count() == 301
+    empty = df.where("false")
+    assert language_id.held_out_predictions(empty).count() == 0
+    assert language_id.identify(df, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_language_backs_off_to_shorter_grams():
+    entries = [("a", 0, "abc", 5), ("a", 4, " abc", 5), ("a", 2, "bc", 5), ("b", 1, "z", 9), ("a", 1, "q", 1)]
+    model = language_id.Model.of(["a", "b"], entries)
+    assert model.word("abc") is not None and model.word("abc")[0] == model.scores[0][0][0]
+    unseen = model.word("zzz")
+    assert unseen[1] > unseen[0]
+
+
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_bpe_equals_the_library(word_tokenizer):
+    path, library = word_tokenizer
+    v = bpe.Vocabulary.read(path)
+    encoder = bpe.WordEncoder(v)
+    random.seed(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCÀÉéèßñçöΣσς  \n\t'’.,!?#1234567890²½_<|>\x1c\x85\xa0"
+    texts = ["", "Hello Wörld's ΑΣ", "a<|endoftext|>b <|startoftext|>", "x" * 500, "".join(random.choice("abcdefg") for _ in range(3000)), "漢字 かな ²½ “x”"]
+    texts += ["".join(random.choice(letters) for _ in range(random.choice([1, 5, 40, 200]))) for _ in range(600)]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        ids = np.frombuffer(got, "<u4")
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want
+        assert bpe.decode(ids, v).decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_trees_agree(word_tokenizer):
+    """The tree of one word and the trees of many give what repeated search for the lowest rank gives."""
+    v = bpe.Vocabulary.read(word_tokenizer[0])
+    random.seed(2)
+    words = list({"".join(random.choice("etaoinshr") for _ in range(random.randint(1, 64))).encode() for _ in range(300)})
+    together = bpe.merge_words(words, v)
+    for w in words:
+        ids = v.symbols(w).tolist()
+        while len(ids) > 1:
+            ranks = v.rank(np.array(ids[:-1]), np.array(ids[1:]))
+            at = int(ranks.argmin())
+            if ranks[at] == bpe.NO_RANK:
+                break
+            ids[at : at + 2] = [int(v.merged[ranks[at]])]
+        assert np.frombuffer(together[w], "<u4").tolist() == ids
+        if len(w) > 1:
+            assert bpe.merge_long(w, v).tolist() == ids
+
+
+def test_bpe_query(spark, word_tokenizer):
+    path, library = word_tokenizer
+    rows = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.bpe_encode(odd_table(spark), path, digests=True).collect()}
+    want = set()
+    for i, text in ODD_ROWS:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert rows == want
+    assert bpe.bpe_encode(odd_table(spark, []), path).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 10**7), max_size=700).map(sorted))
+def test_elias_fano_round_trip(values):
+    code, end = EliasFano.unpack(b"__" + EliasFano.of(np.array(values, np.int64)).pack(), 2)
+    assert code.values().tolist() == values
+    assert [code.select(i) for i in range(0, len(values), 7)] == values[::7]
+
+
+def test_elias_fano_is_small():
+    values = np.cumsum(np.random.default_rng(0).integers(1, 2000, 100_000))
+    assert len(EliasFano.of(values).pack()) * 8 < 100_000 * (2 + 10 + 1.2)
+
+
+def test_token_files(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    random.seed(3)
+    letters = "abcdeéß   \n\n\t\r'.,1234²½<|>\x1c\x85\xa0"
+    rows = [(i, "".join(random.choice(letters) for _ in range(random.choice([0, 1, 5, 300]))) + ("<|endoftext|> " if i % 9 == 0 else "")) for i in range(150)]
+    rows += [(1000, None), (2000, "a " * 20_000), (None, "last")]
+    random.shuffle(rows)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string")
+    want, start = {}, 0
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_file.token_round_trip(df, path).collect()}
+    assert got == want
+    token_file.write_tokens(df, path, str(tmp_path / "t"), 2)
+    count = token_file.export_segments(spark, str(tmp_path / "t"), str(tmp_path / "files"))
+    files = sorted((tmp_path / "files").iterdir())
+    assert len(files) == count
+    whole = np.concatenate([token_file.Segment.unpack(f.read_bytes()).ids for f in files])
+    assert len(whole) == start
+    first = token_file.Segment.unpack(files[0].read_bytes())
+    assert first.document(1).tolist() == whole[want[1][0] : want[1][0] + want[1][1]].tolist()
+    with pytest.raises(ValueError):
+        token_file.Segment.unpack(files[0].read_bytes()[:-1])
+    assert token_file.token_round_trip(df.where("false"), path).count() == 0
