@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -73,12 +74,15 @@ class Canvas:
         part[:] = part * (255 - alpha) // 255
 
     def text(self, x: int, y: int, text: str, colour: tuple, size: int = 2) -> None:
-        for i, c in enumerate(text.upper()):
-            for r, bits in enumerate(FONT.get(c, "77777")):
-                for k in range(3):
-                    if int(bits) >> (2 - k) & 1:
-                        yy, xx = np.mgrid[0:size, 0:size]
-                        self.dots(x + (4 * i + k) * size + xx.ravel(), y + r * size + yy.ravel(), colour)
+        if text:
+            on_y, on_x = np.nonzero(np.kron(np.concatenate([glyph(c) for c in text.upper()], axis=1), np.ones((size, size), bool)))
+            self.dots(x + on_x, y + on_y, colour)
+
+
+@cache
+def glyph(c: str) -> np.ndarray:
+    """A character's dots with a column of space after it."""
+    return np.array([[bits >> 2 & 1, bits >> 1 & 1, bits & 1, 0] for bits in map(int, FONT.get(c, "77777"))], bool)
 
 
 def draw(pixels: np.ndarray, heading: float, hits: list[tuple[int, int, tuple, str]], caption: list[str]) -> np.ndarray:

@@ -11,11 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 PAIR = "entity string, ts timestamp, lat double, lon double, prev_lat double, prev_lon double"
 
 
-def paired_stream(fixes: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def paired_stream(fixes: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Pairs of consecutive fixes of (entity, ts, lat, lon); the state is one fix per entity.
 
-    Fixes of a batch are paired in order of time.  A fix older than the one last seen is dropped.  State of an
-    entity that stays silent for `idle_ms` is forgotten, and its next fix starts anew.
+    Fixes of a batch are paired in order of time.  A fix older than the one last seen is dropped.  With
+    `idle_ms`, an entity that stays silent for so long is forgotten and its next fix starts anew; such a query always
+    has another batch to run, so it suits continuous triggers only.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,10 +35,11 @@ def paired_stream(fixes: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             last = (micros, lat, lon)
         if last is not None:
             state.update(last)
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["entity", "ts", "lat", "lon", "prev_lat", "prev_lon"])
 
-    return fixes.groupBy("entity").applyInPandasWithState(step, PAIR, "micros long, lat double, lon double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return fixes.groupBy("entity").applyInPandasWithState(step, PAIR, "micros long, lat double, lon double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def outcome_windows(results: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
