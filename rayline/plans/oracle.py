@@ -142,11 +142,11 @@ WITH {NAME_PAIRS} SELECT p_partkey, levenshtein(a, b)::INT AS edits, contains(a,
     "json_snap_place": "SELECT event_id, CASE WHEN event_id % 6 <= 2 THEN 'p' || (event_id % 97) END AS place_id FROM events",
     "json_route_name": f"SELECT event_id, {route(place_body('event_type', 'event_id % 4'))} AS road_name FROM events",
     "lookup_road_names": f"""
-WITH k AS (SELECT DISTINCT 'p' || (user_id % 60) AS point_key FROM events),
-s AS (SELECT 'p' || c_custkey AS point_key, 'n' || c_nationkey AS place_id FROM customer WHERE c_custkey < 50),
+WITH k AS (SELECT DISTINCT 'p' || user_id AS point_key FROM events),
+s AS (SELECT 'p' || s_suppkey AS point_key, 'n' || s_nationkey AS place_id FROM supplier),
 n AS (SELECT 'n' || n_nationkey AS place_id, {route(place_body('n_name', 'n_nationkey % 4'))} AS road_name FROM nation)
 SELECT k.point_key, s.place_id, n.road_name FROM k LEFT JOIN s USING (point_key) LEFT JOIN n USING (place_id)""",
-    "lookup_missing_keys": "SELECT DISTINCT 'p' || (user_id % 60) AS point_key FROM events WHERE user_id % 60 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 50)",
+    "lookup_missing_keys": "SELECT DISTINCT 'p' || user_id AS point_key FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)",
     "evaluate_outcome": f"WITH {SCORED} SELECT row_number, outcome, detected_road, iterations, alternative_used, error_message, primary_is_current_road FROM evaluated",
     "report_summary": f"WITH {SCORED} SELECT {TALLIES} FROM evaluated",
     "report_by_group": f"WITH {SCORED} SELECT city, outcome, {TALLIES} FROM evaluated GROUP BY ROLLUP (city, outcome)",

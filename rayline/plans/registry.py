@@ -136,10 +136,10 @@ def json_route_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lookup_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Points of events (many events share one), responses for most of them, and a place per nation."""
-    points = t.load(spark, sf_dir, "events").select(F.concat(F.lit("p"), (F.col("user_id") % 60).cast("string")).alias("point_key"))
-    customer = t.load(spark, sf_dir, "customer").where("c_custkey < 50")
-    snap = F.concat(F.lit('{"snappedPoints":[{"originalIndex":0,"placeId":"n'), F.col("c_nationkey").cast("string"), F.lit('"}]}'))
-    snaps = customer.select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("point_key"), snap.alias("body"))
+    points = t.load(spark, sf_dir, "events").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("point_key"))
+    supplier = t.load(spark, sf_dir, "supplier")
+    snap = F.concat(F.lit('{"snappedPoints":[{"originalIndex":0,"placeId":"n'), F.col("s_nationkey").cast("string"), F.lit('"}]}'))
+    snaps = supplier.select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("point_key"), snap.alias("body"))
     nation = t.load(spark, sf_dir, "nation")
     places = nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("place_id"), _place_body(F.col("n_name"), F.col("n_nationkey") % 4).alias("body"))
     return points, snaps, places
