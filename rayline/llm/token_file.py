@@ -9,6 +9,7 @@ plain files.  A segment is bounded in ids, and one document of any length fits i
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -18,6 +19,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -27,13 +29,20 @@ from .elias_fano import EliasFano
 MAGIC = b"RLTOK\x01"
 _HEAD = struct.Struct("<6sBxQQ")
 SEGMENT_IDS = 2_000_000
-WORDS_KEPT = 500_000
+#: Pieces a worker remembers before it starts again.
+WORDS_KEPT = 1_300_000
 NO_ID = -(2**63)
 
-#: How byte-level vocabularies split a text, and the same for texts in which ODD finds nothing.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PLAIN_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-ODD = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
+#: Bytes of text handled at a time; the library gets a longer text whole.
+SLAB_BYTES = 2 << 20
+#: A space between white space, or after some at the end: only there may a piece of the library's reach over a space.
+OVER_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: How byte-level vocabularies split a text.
+BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space beyond ASCII.
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Starts a text in a slab; no byte of UTF-8.
+TEXT_START = 255
 
 
 @dataclass
@@ -66,43 +75,196 @@ class Segment:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
+class _Hash:
+    """Hashes of stretches of a slab: differences of prefix sums of byte codes times powers of an odd number.
+
+    Each difference is raised to the power of the slab's far end, so that a stretch's place does not matter.
+    """
+
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.codes = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.powers, size, step = np.ones(SLAB_BYTES + 1, np.uint64), 1, int(rng.integers(1 << 60, 1 << 62)) * 8 + 5
+        while size <= SLAB_BYTES:  # double the filled part by the next power
+            part = self.powers[size : 2 * size]
+            part[:] = self.powers[: len(part)] * np.uint64(step % 2**64)
+            size, step = 2 * size, step * step % 2**64
+
+    def of(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum(self.codes[buffer] * self.powers[: len(buffer)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.powers[SLAB_BYTES - starts]
+
+
+class _Units(dict):
+    """The library's own pieces by number; new ones wait in `pending` for their ids."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.pending: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.pending.append(unit)
+        return number
+
+
+class _Ids:
+    """Id sequences by number, one after the other in an array."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a list of numbers, and where each ends among them."""
+        sizes = self.sizes[numbers]
+        after = np.cumsum(sizes)
+        return self.ids[np.arange(int(after[-1])) + np.repeat(self.starts[numbers] - after + sizes, sizes)], after
+
+
 class ByteEncoder:
     """Encodes whole texts with the tokenizers library.
 
-    The library splits a text before it merges, and ids of a piece depend on the piece alone; so each distinct piece
-    goes through the library once and is remembered.
+    The library splits a text before it merges; its own units begin at a space that follows a word and reach over no
+    other.  So a text is cut before spaces into pieces, pieces are remembered under two 64-bit hashes with their ids,
+    and of new pieces each unit goes through the library once.  Texts in which white space or special tokens stand
+    about a space, and ones longer than a slab, go through the library whole.
     """
 
     def __init__(self, spec: str, end: int, width: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already fill the cores
-        import json
-
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.width = Tokenizer.from_str(spec), {}, width
-        self.plain, self.full = re.compile(PLAIN_PATTERN), regex.compile(BYTE_PATTERN)
-        special = [t["content"] for t in json.loads(spec)["added_tokens"]]
-        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.end = self.packed([end])
-
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        self.tokenizer, self.end, self.width = Tokenizer.from_str(spec), end, width
+        self.marks = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(1 + max(vocabulary.values()), np.int64)  # bytes of a token: a letter stands for each
+        self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.first, self.second = _Hash(1), _Hash(2)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks, self.numbers = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.known, self.spaced = _Units(), np.empty(0, bool)
+        self.units = _Ids(np.empty(0, f"<u{self.width}"), np.empty(0, np.int64))
+        self.pieces = _Ids(np.array([self.end], f"<u{self.width}"), np.ones(1, np.int64))  # number 0 is the end id
+
+    def learn_units(self) -> None:
+        """Have the library encode the units that wait; token lengths tell where each ends."""
+        wait, self.known.pending = self.known.pending, []
+        if wait:
+            found = self.tokenizer.encode_batch_fast([wait[i : i + 256] for i in range(0, len(wait), 256)], is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, self.units.ids.dtype) for x in found])
+            until = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+            ends = np.searchsorted(until, np.cumsum(np.fromiter((len(u.encode()) for u in wait), np.int64, len(wait))))
+            self.units.add(ids, np.diff(ends, prepend=0))
+            self.spaced = np.concatenate([self.spaced, np.fromiter((u[0] == " " for u in wait), bool, len(wait))])
+
+    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces of a slab.
+
+        Pieces of a space and a stretch that neither begins nor ends with white space can stand one after the other
+        and are split all at once; there each begins at a unit with a space.  Others are split one by one.
+        """
+        buffer = np.frombuffer(raw, np.uint8)
+        after = buffer[np.minimum(starts + 1, len(buffer) - 1)]
+        ok = (buffer[starts] == 32) & (ends - starts > 1) & (after > 32) & (buffer[ends - 1] > 32)
+        text = b"".join([raw[s:e] for s, e in zip(starts[ok].tolist(), ends[ok].tolist(), strict=True)]).decode()
+        if WIDE_SPACE.search(text):
+            ok[:], text = False, ""
+        together = BYTE_PATTERN.findall(text)
+        apart = [BYTE_PATTERN.findall(raw[s + (raw[s] == TEXT_START) : e].decode()) for s, e in zip(starts[~ok].tolist(), ends[~ok].tolist(), strict=True)]
+        units = together + [u for some in apart for u in some]
+        numbers = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        self.learn_units()
+        counts = np.empty(len(starts), np.int64)
+        counts[ok] = np.diff(np.flatnonzero(self.spaced[numbers[: len(together)]]), append=len(together))
+        counts[~ok] = [len(some) for some in apart]
+        order = np.concatenate([np.flatnonzero(ok), np.flatnonzero(~ok)])
+        ids, sums = self.units.gather(numbers) if len(numbers) else (self.units.ids[:0], np.empty(0, np.int64))
+        until = np.concatenate([[0], sums])[np.cumsum(counts[order])]
+        out = np.empty(len(starts), np.int64)
+        out[order] = len(self.pieces.sizes) + np.arange(len(starts))
+        self.pieces.add(ids, np.diff(until, prepend=0))
+        return out
 
-    def split(self, text: str) -> list[str]:
-        out: list[str] = []
-        for i, part in enumerate(self.special.split(text) if self.special else [text]):
-            out += [part] if i % 2 else (self.full if ODD.search(part) else self.plain).findall(part)
+    def slab(self, texts: list[bytes]) -> list[np.ndarray] | None:
+        """Ids of texts that can be cut before spaces; None if two pieces share a hash."""
+        raw = b"".join(x for t in texts for x in (b"\xff", t))
+        buffer = np.frombuffer(raw, np.uint8)
+        starts = np.flatnonzero((buffer == 32) | (buffer == TEXT_START))
+        ends = np.append(starts[1:], len(buffer))
+        key, check = self.first.of(buffer, starts, ends), self.second.of(buffer, starts, ends)
+        keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        checks = check[at]
+        if (checks[inverse] != check).any():
+            return None
+        place = np.searchsorted(self.keys, keys)
+        near = np.minimum(place, len(self.keys) - 1)
+        known = (self.keys[near] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+        if len(self.keys) and (self.checks[near][known] != checks[known]).any():
+            return None
+        numbers = np.empty(len(keys), np.int64)
+        numbers[known] = self.numbers[near[known]]
+        new = ~known
+        if new.any():
+            numbers[new] = self.learn(raw, starts[at[new]], ends[at[new]])
+            self.keys, self.checks, self.numbers = (np.insert(old, place[new], x[new]) for old, x in ((self.keys, keys), (self.checks, checks), (self.numbers, numbers)))
+        heads = np.flatnonzero(buffer[starts] == TEXT_START)
+        pieces = np.insert(numbers[inverse], np.append(heads[1:], len(starts)), 0)
+        ids, after = self.pieces.gather(pieces)
+        lasts = np.append(heads[1:], len(starts)) + np.arange(len(heads))
+        return np.split(ids, after[lasts[:-1]])
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array([*x.ids, self.end], self.pieces.ids.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text with the end id."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        waiting: list[int] = []
+        raw: list[bytes] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            if len(self.keys) > WORDS_KEPT:
+                self.forget()
+            found = self.slab(raw) if raw else []
+            for i, ids in zip(waiting, self.whole([texts[i] for i in waiting]) if found is None else found, strict=True):
+                out[i] = ids
+            waiting.clear()
+            raw.clear()
+            held = 0
+
+        for i, text in enumerate(texts):
+            data = text.encode()
+            if len(data) >= SLAB_BYTES or any(m in text for m in self.marks) or OVER_SPACE.search(text):
+                out[i] = self.whole([text])[0]
+                continue
+            if held + len(data) + 1 > SLAB_BYTES:
+                flush()
+            waiting.append(i)
+            raw.append(data)
+            held += len(data) + 1
+        flush()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(x) for x in texts]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = self.packed(found.ids)
-        return [b"".join(map(self.known.__getitem__, x)) + self.end for x in split]
+
+_ENCODERS: dict[tuple, ByteEncoder] = {}
+
+
+def _encoder(spec: str, end: int, width: int) -> ByteEncoder:
+    """One encoder per worker process, kept from task to task."""
+    key = (hash(spec), end, width)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = ByteEncoder(spec, end, width)
+    return _ENCODERS[key]
 
 
 SEGMENTS = "part int, seq int, base long, docs long, ids long, image binary"
@@ -110,25 +272,25 @@ SEGMENTS = "part int, seq int, base long, docs long, ids long, image binary"
 
 def _write(spec, end: int, width: int):
     def run(batches: Batches) -> Batches:
-        encoder = ByteEncoder(spec.value, end, width)
+        encoder = _encoder(spec.value, end, width)
         part, seq, base = TaskContext.get().partitionId(), 0, 0
         docs: list[int] = []
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
         size = 0
 
         def segment():
-            image = Segment.pack(np.array(docs, np.int64), np.array([len(x) // width for x in coded], np.int64), b"".join(coded), width)
+            image = Segment.pack(np.array(docs, np.int64), np.array([len(x) for x in coded], np.int64), np.concatenate(coded).tobytes(), width)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "base": [base], "docs": [len(docs)], "ids": [size], "image": [image]}, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("base", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("image", pa.binary())]))
 
         for b in batches:
             names = b.column("doc_id").fill_null(NO_ID).to_pylist()
             for name, ids in zip(names, encoder.encode([x or "" for x in b.column("text").to_pylist()]), strict=True):
-                if coded and size + len(ids) // width > SEGMENT_IDS:
+                if coded and size + len(ids) > SEGMENT_IDS:
                     yield segment()
                     seq, base, docs, coded, size = seq + 1, base + size, [], [], 0
                 docs.append(name)
                 coded.append(ids)
-                size += len(ids) // width
+                size += len(ids)
         if coded:
             yield segment()
 
@@ -142,7 +304,7 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int, id_col: s
     texts.  A null text is the empty text: its ids are the end id alone.
     """
     spark = df.sparkSession
-    text_batches(spark, 500)
+    text_batches(spark, 600)
     with open(tokenizer, encoding="utf-8") as f:
         text = f.read()
     from tokenizers import Tokenizer
