@@ -187,7 +187,7 @@ def merge_words(words: list[bytes], v: Vocabulary) -> dict[bytes, bytes]:
 #: How the word tokenizer's file splits lower-cased text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for texts in which ODD finds nothing, on which the two engines' classes agree; faster.
-PLAIN_PATTERN = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+PLAIN_PATTERN = r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+"
 ODD = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
 
