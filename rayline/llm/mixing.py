@@ -133,4 +133,4 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: in
     copies = docs.join(F.broadcast(table), docs["source"].eqNullSafe(F.col("_s")) & (_block("doc_id", blocks, seed) == F.col("_b")))
     copies = copies.select(*[docs[c] for c in columns], F.posexplode("_shards").alias("_copy", "_shard"))
     order = F.xxhash64(F.lit(seed), "_shard", "doc_id", "_copy")
-    return copies.withColumn("_order", order).repartition("_shard", F.pmod("_order", F.lit(64))).sortWithinPartitions("_shard", "_order").select(*columns)
+    return copies.withColumn("_order", order).repartition("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*columns)
