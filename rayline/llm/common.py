@@ -58,10 +58,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def longs(values, mask=None) -> pa.Array:
-    return pa.array(np.asarray(values, dtype=np.int64), mask=mask)
-
-
 def long_column(column: pa.Array, null: int) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
