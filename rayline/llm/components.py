@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed
+from .common import BROADCAST_ROWS, checkpointed
 
 
 def _smaller_ends(edges: DataFrame) -> DataFrame:
@@ -13,16 +13,17 @@ def _smaller_ends(edges: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Hang each node's larger neighbours on the smallest node around it."""
+    ends = _smaller_ends(edges)
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_smaller_ends(edges), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(F.broadcast(ends) if few else ends, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Hang each node and its smaller neighbours on the smallest of them; edges have u > v."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u")
+    moved = edges.join(F.broadcast(low) if few else low, "u")
     return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(moved.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round halves the number of stars about a hub or more, so rounds grow with the logarithm of the number of
     nodes.  Only a count and a checksum come to the driver.  Loops and repeated edges are allowed, and an empty
-    table gives no rows; an edge with a null end is ignored.
+    table gives no rows; an edge with a null end is ignored.  While the counted edges are few, a node's smallest
+    neighbour is broadcast, which keeps the edges of a hub in place; beyond that the joins shuffle.
     """
     now = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen = None
@@ -39,5 +41,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == seen:
             break
-        seen, now = state, checkpointed(_small_star(_large_star(now)))
+        few = 2 * state[0] <= BROADCAST_ROWS
+        seen, now = state, checkpointed(_small_star(_large_star(now, few), few))
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())
