@@ -200,6 +200,17 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0 and mixing.mixed_documents(table(spark, [])).count() == 0
 
 
+def test_mixing_odd_identifiers(spark):
+    """Rows without an identifier share a block; repeated rows are taken alike; texts without words take nothing."""
+    rows = [(None, "a b", "s"), (None, "c d e", "s"), (1, "x " * 5000, "t"), (1, "x " * 5000, "t"), (2, None, None), (3, "", None)]
+    got = mixing.mix(table(spark, rows)).collect()
+    assert len(got) == len(rows) and len({tuple(r["shards"]) for r in got if r["doc_id"] is None}) == 1
+    assert all(r["taken"] == 0 and r["target"] == 0 for r in got if r["doc_id"] in (2, 3))
+    assert len({r["taken"] for r in got if r["doc_id"] == 1}) == 1
+    nothing = mixing.mix(table(spark, [(1, None, None), (2, " ", "s")])).collect()
+    assert [(r["size"], r["target"], r["taken"]) for r in nothing] == [(0, 0.0, 0)] * 2
+
+
 def pages():
     random.seed(8)
     body = ["<html>" + "x" * random.choice([10, 93, 94, 300]) + str(i) for i in range(12)]
