@@ -19,9 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Batches, text_batches
+from .common import Batches, text_batches, tidy
 
-WORDS_KEPT = 700_000
+WORDS_KEPT = 300_000
 #: Words up to this many symbols are merged together in arrays.
 WIDE = 64
 NO_RANK = np.int64(2**62)
@@ -264,4 +264,4 @@ def bpe_encode(df: DataFrame, vocabulary: str, digests: bool = False, id_col: st
     text_batches(spark, 500)
     shared = spark.sparkContext.broadcast(Vocabulary.read(vocabulary))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_code(shared, digests), DIGESTS if digests else CODED)
+    return rows.mapInArrow(tidy(_code(shared, digests)), DIGESTS if digests else CODED)

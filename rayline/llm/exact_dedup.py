@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, Batches, checkpointed, gated, long_column, text_batches, text_or_empty
+from .common import SPACE, Batches, checkpointed, gated, long_column, text_batches, text_or_empty, tidy
 
 NO_ID = -(2**63)
 PREFIX_CHARS = 24
@@ -115,7 +115,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         .sortWithinPartitions("head", "hash", "norm", F.col("doc_id").asc_nulls_last())
         .withColumn("digest", F.sha2("norm", 256))
     )
-    walked = checkpointed(rows.mapInArrow(_walk, WALKED))
+    walked = checkpointed(rows.mapInArrow(tidy(_walk), WALKED))
     # One row for each run at a partition's edge: two a partition, whatever the data.
     edges = (
         walked.where("edge and first")

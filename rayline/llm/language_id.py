@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Batches, text_batches
+from .common import Batches, text_batches, tidy
 
 UNKNOWN = "und"
 LONGEST = 4
 #: Bounds of the model: labelled documents of each language (about so many, chosen by hash), languages (the most
 #: frequent), and known words and n-grams of each length of a language, and of all languages together.
 FIT_DOCUMENTS, FIT_LANGUAGES, FIT_WORDS, FIT_GRAMS, FIT_ALL = 1500, 256, 20_000, 8_000, 400_000
-WORDS_KEPT = 700_000
+WORDS_KEPT = 300_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -109,7 +109,7 @@ def fit(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id", tex
         return Model.of([], [])
     share = F.element_at(F.create_map(*[x for lang, n in languages.items() for x in (F.lit(lang), F.lit(min(1.0, FIT_DOCUMENTS / n)))]), F.col("lang"))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
-    counted = sample.mapInArrow(_counts, "lang string, length int, gram string, count long").groupBy("lang", "length", "gram").agg(F.sum("count").alias("count"))
+    counted = sample.mapInArrow(tidy(_counts), "lang string, length int, gram string, count long").groupBy("lang", "length", "gram").agg(F.sum("count").alias("count"))
     most = FIT_ALL // len(languages) // (LONGEST + 1)
     rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("count"), "gram"))
     known = counted.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") == 0, min(FIT_WORDS, most)).otherwise(min(FIT_GRAMS, most)))
@@ -168,7 +168,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     text_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predict(shared)), "doc_id long, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -194,4 +194,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFr
             judged = [known.judge(x) for x in b.column("text").to_pylist()]
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in judged], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -26,14 +26,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Batches, as_bytes, checkpointed, gated, long_column, text_batches
+from .common import Batches, as_bytes, checkpointed, gated, text_batches, tidy
 from .components import components
 
-NO_ID = -(2**63)
 #: One in so many of a set's shingles is looked at beyond what one shared leading column would need.
 SPARE = 10
 #: Known words a worker remembers before it starts again.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 400_000
 #: Bounds of one side of a block: rows, and entries of these rows.
 BLOCK_ROWS, BLOCK_ENTRIES = 1024, 2_000_000
 #: A column met by more rows of a block than this is multiplied densely.
@@ -234,7 +233,7 @@ def jaccard_components(df: DataFrame, law: Law = Law(), id_col: str = "doc_id",
     spark = df.sparkSession
     text_batches(spark)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = checkpointed(texts.mapInArrow(_sets(law, whole=False), SETS).withColumn("row", F.monotonically_increasing_id()))
+    docs = checkpointed(texts.mapInArrow(tidy(_sets(law, whole=False)), SETS).withColumn("row", F.monotonically_increasing_id()))
 
     # Rows that share enough of their leading columns with any other row.  Of these columns, all but the last
     # `shared - 1` in order of frequency suffice: partners share one of them at least, and frequent columns stay out.
@@ -255,10 +254,10 @@ def jaccard_components(df: DataFrame, law: Law = Law(), id_col: str = "doc_id",
     members = checkpointed(heads.select("node", "n", "digest", "head").join(families.select("node", F.col("label").alias("family")), "node"))
 
     wanted = gated(members.select(F.col("head").alias("_head")).distinct())
-    whole = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_head")), "left_semi").mapInArrow(_sets(law, whole=True), SETS)
+    whole = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_head")), "left_semi").mapInArrow(tidy(_sets(law, whole=True)), SETS)
     sets = whole.where("digest is not null").join(members.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "cols")
     blocks = sets.join(_blocks(members.select("node", "n", "family"), law), "node").repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
-    groups = components(blocks.select("family", "left", "right", "node", "cols").mapInArrow(_products(law), "a long, b long"))
+    groups = components(blocks.select("family", "left", "right", "node", "cols").mapInArrow(tidy(_products(law)), "a long, b long"))
 
     # Components of sets, named by the smallest identifier of all rows that have one of the sets.
     classes = small.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"))
