@@ -211,6 +211,20 @@ def test_mixing_odd_identifiers(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in nothing] == [(0, 0.0, 0)] * 2
 
 
+def test_mixing_hot_source_among_many(spark):
+    """A third of all words in one source of a thousand: its target is a small part of it, but is met."""
+    hot = [(i, "w " * (1 + i % 40), "hot") for i in range(20_000)]
+    rest = [(100_000 + i, "w " * (1 + i % 40), f"s{i % 999:03}") for i in range(40_000)]
+    df = spark.createDataFrame([*hot, *rest], "doc_id long, text string, source string")
+    got = mixing.mix(df).withColumn("source", F.when(F.col("doc_id") < 100_000, "hot").otherwise(F.concat(F.lit("s"), F.lpad(((F.col("doc_id") - 100_000) % 999).cast("string"), 3, "0"))))
+    by_source = {r["source"]: r for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()}
+    assert len(by_source) == 1000
+    assert abs(by_source["hot"]["taken"] - by_source["hot"]["target"]) <= 0.005 * by_source["hot"]["target"]
+    assert all(abs(r["taken"] - r["target"]) <= r["most"] for r in by_source.values())
+    mixed = mixing.mixed_documents(df)
+    assert mixed.where("source = 'hot'").agg(F.sum(mixing.word_count("text"))).first()[0] == by_source["hot"]["taken"]
+
+
 def pages():
     random.seed(8)
     body = ["<html>" + "x" * random.choice([10, 93, 94, 300]) + str(i) for i in range(12)]
