@@ -22,7 +22,10 @@ WEIGHTS, CAP = (1, 2, 3), 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language a model fitted on a bounded sample of their labels can tell; others are `und`."""
+    """Documents whose language a model fitted on a bounded sample of their labels can tell; others are `und`.
+
+    Where no document has a label, all texts with a letter go on.
+    """
     return keep_identified(docs, fit(docs))
 
 

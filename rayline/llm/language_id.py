@@ -31,6 +31,10 @@ def letters(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def has_letter(words: list[str]) -> bool:
+    return any(c.isalpha() for w in words for c in w)
+
+
 def grams_at(word: str, n: int) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -135,7 +139,7 @@ class _Known(dict):
 
     def judge(self, text: str | None) -> tuple[str, float]:
         words = letters(text) if text else []
-        if not words or not self.model.languages or not any(c.isalpha() for w in words for c in w):
+        if not self.model.languages or not has_letter(words):
             return UNKNOWN, 0.0
         if len(self) > WORDS_KEPT:
             self.clear()
@@ -183,7 +187,10 @@ def held_out_predictions(df: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """`docs` without those rejected: `und`, or a score below `least`.  All columns stay; text travels once."""
+    """`docs` without those rejected: `und`, or a score below `least`.  All columns stay; text travels once.
+
+    A model without languages (no row has a label) can tell none apart: then only texts without a letter are rejected.
+    """
     spark = docs.sparkSession
     text_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
@@ -191,7 +198,11 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFr
     def run(batches: Batches) -> Batches:
         known = _Known(shared.value)
         for b in batches:
-            judged = [known.judge(x) for x in b.column("text").to_pylist()]
-            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in judged], pa.bool_()))
+            texts = b.column("text").to_pylist()
+            if known.model.languages:
+                kept = [x != UNKNOWN and s >= least for x, s in map(known.judge, texts)]
+            else:
+                kept = [has_letter(letters(x or "")) for x in texts]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

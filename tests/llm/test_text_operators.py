@@ -120,6 +120,14 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
     assert language_id.identify(df, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_without_any_label_keeps_texts_with_letters(spark):
+    rows = [(1, "kala mala", None), (2, "strom", None), (3, "123 ²³ !", None), (4, None, None), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert not model.languages
+    assert {r["doc_id"] for r in language_id.keep_identified(df, model, least=0.5).collect()} == {1, 2}
+
+
 def test_language_backs_off_to_shorter_grams():
     entries = [("a", 0, "abc", 5), ("a", 4, " abc", 5), ("a", 2, "bc", 5), ("b", 1, "z", 9), ("a", 1, "q", 1)]
     model = language_id.Model.of(["a", "b"], entries)
