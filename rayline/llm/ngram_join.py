@@ -24,9 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Batches, as_bytes, checkpointed, gated, text_batches, tidy
+from .common import Batches, as_bytes, checkpointed, gated, text_batches, text_or_empty, tidy
 from .components import components
 
 #: One in so many of a set's shingles is looked at beyond what one shared leading column would need.
@@ -93,8 +93,8 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _sets(law: Law, whole: bool):
-    """Per document: its id, set size, set digest (null: no words) and the leading columns or the whole set."""
+def _sets(law: Law, whole: bool, marked: bool = False):
+    """Per document: its id, set size, set digest (null: no words), the leading columns or the whole set, and its mark."""
 
     def run(batches: Batches) -> Batches:
         words = _Words()
@@ -106,8 +106,9 @@ def _sets(law: Law, whole: bool):
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                     _lists(sets if whole else [x[: law.lead(len(x))] for x in sets]),
+                    *([b.column("mark")] if marked else []),
                 ],
-                ["doc_id", "n", "digest", "cols"],
+                ["doc_id", "n", "digest", "cols", *(["mark"] if marked else [])],
             )
 
     return run
@@ -230,10 +231,25 @@ def jaccard_components(df: DataFrame, law: Law = Law(), id_col: str = "doc_id",
     all of a component's identifiers are null.  Repeated rows are equal sets.  An empty table gives no rows, and
     other columns are not read.
     """
+    return _labelled(df, law, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _mark(text_col: str) -> Column:
+    """The text's digest: with the identifier it names rows that are judged alike."""
+    return F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
+
+
+def _labelled(df: DataFrame, law: Law, id_col: str, text_col: str, marked: bool = False) -> DataFrame:
+    """The rows of jaccard_components(); `marked` adds their mark and group, the component's key (null: no words).
+
+    Where identifiers repeat, several groups may have one component_id.
+    """
     spark = df.sparkSession
     text_batches(spark)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = checkpointed(texts.mapInArrow(tidy(_sets(law, whole=False)), SETS).withColumn("row", F.monotonically_increasing_id()))
+    extra = ["mark"] if marked else []
+    read = texts.withColumn("mark", _mark("text")) if marked else texts
+    docs = checkpointed(read.mapInArrow(tidy(_sets(law, False, marked)), SETS + ", mark binary" * marked).withColumn("row", F.monotonically_increasing_id()))
 
     # Rows that share enough of their leading columns with any other row.  Of these columns, all but the last
     # `shared - 1` in order of frequency suffice: partners share one of them at least, and frequent columns stay out.
@@ -264,17 +280,30 @@ def jaccard_components(df: DataFrame, law: Law = Law(), id_col: str = "doc_id",
     labels = heads.select("digest", "node").join(groups, "node").select("digest", "label")
     named = classes.join(labels, "digest", "left")
     lows = named.where("label is not null").groupBy("label").agg(F.min("low").alias("label_low"))
-    named = named.join(lows, "label", "left").select("digest", F.coalesce("label_low", "low").alias("component"))
-    return small.join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+    named = named.join(lows, "label", "left").select("digest", F.coalesce("label_low", "low").alias("component"), F.coalesce("label", F.xxhash64("digest")).alias("group"))
+    return docs.select("doc_id", "n", "digest", *extra).join(named, "digest", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *extra, "group"
     )
 
 
 def drop_near_copies(docs: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component, the one of its smallest identifier; all columns kept.
 
-    Rows without an identifier stay, as nothing can name them.
+    Rows without an identifier stay, as nothing can name them; so do texts without words.  Rows are told apart by
+    identifier and text: of a component's rows that share its smallest identifier, one stays.
     """
-    found = jaccard_components(docs, law, id_col, text_col)
-    gone = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gated(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    found = checkpointed(_labelled(docs, law, id_col, text_col, marked=True))
+    gone = found.where("doc_id <> component_id").select("doc_id", "mark")
+    firsts = found.where("doc_id = component_id and group is not null").groupBy("group", "doc_id").agg(F.count("*").alias("rows"), F.min("mark").alias("first"))
+    firsts = checkpointed(firsts.where("rows > 1").select(F.col("group").alias("_group"), "first"))
+    among = found.where("doc_id = component_id").join(gated(firsts), F.col("group") == F.col("_group"))
+    more = among.where("mark <> first").select("doc_id", "mark")
+    named = lambda df: df.select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text")).distinct()
+    same = lambda df: (df[id_col].cast("long") == F.col("_gone")) & (df["_mark"] == F.col("_text"))
+    marked = docs.withColumn("_mark", _mark(text_col))
+    left = marked.join(gated(checkpointed(named(gone.union(more)))), same(marked), "left_anti")
+    alike = checkpointed(named(among.where("mark = first").groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).where("rows > 1")))
+    if alike.head(1):  # rows that repeat both identifier and text
+        alike = gated(alike)
+        left = left.join(alike, same(left), "left_anti").union(left.join(alike, same(left), "left_semi").dropDuplicates([id_col, "_mark"]))
+    return left.drop("_mark")

@@ -90,6 +90,18 @@ def test_jaccard_of_nothing_and_of_one_hot_group(spark):
     assert [r["doc_id"] for r in kept.collect()] == [1] and kept.columns == table(spark, same).columns
 
 
+def test_near_copies_with_repeated_identifiers(spark):
+    """A clean text stays though its identifier also names a near copy; of copies under one identifier one row stays."""
+    words = [f"w{i}" for i in range(100)]
+    near, clean, other, odd = " ".join(words), " ".join(reversed(words)), " ".join(w + "x" for w in words), " ".join(w + "y" for w in words)
+    rows = [(1, near, "s"), (2, near + " more", "s"), (2, clean, "s"), (3, other, "s"), (3, other + " more", "s"), (3, odd, "s")]
+    rows += [(4, "one", "s"), (4, "one", "s"), (5, "", "s"), (5, "", "s"), (6, "", "s"), (None, near, "s"), (None, near, "s")]
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.drop_near_copies(table(spark, rows)).collect())
+    assert sum(n for (i, t), n in kept.items() if i == 3 and t != odd) == 1
+    kept = Counter({k: n for k, n in kept.items() if k[0] != 3 or k[1] == odd})
+    assert kept == Counter({(1, near): 1, (2, clean): 1, (3, odd): 1, (4, "one"): 1, (5, ""): 2, (6, ""): 1, (None, near): 2})
+
+
 def test_overlap_product():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
