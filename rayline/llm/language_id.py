@@ -2,7 +2,8 @@
 
 A word the model knows scores its log frequency in each language.  An unseen word falls back to its character
 n-grams: at each place the longest known one, from four characters down to one, and the word scores their mean.
-The model is fitted on a bounded sample of labelled documents and has a bounded number of words and n-grams.
+The model knows every label; it is fitted on a bounded sample of the documents of each and has a bounded number of
+words and n-grams of each.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Batches, text_batches, tidy
+from .common import Batches, checkpointed, gated, text_batches, tidy
 
 UNKNOWN = "und"
 LONGEST = 4
-#: Bounds of the model: labelled documents of each language (about so many, chosen by hash), languages (the most
-#: frequent), and known words and n-grams of each length of a language, and of all languages together.
+#: Bounds of the model: labelled documents of each language (about so many, chosen by hash), and known words and n-grams
+#: of each length of a language, and of all languages together while these are at most FIT_LANGUAGES.  With more
+#: languages each has as many as one of FIT_LANGUAGES would have, and scores are kept sparse.
 FIT_DOCUMENTS, FIT_LANGUAGES, FIT_WORDS, FIT_GRAMS, FIT_ALL = 1500, 256, 20_000, 8_000, 400_000
-WORDS_KEPT = 300_000
+#: Words a worker remembers, and scores of these words in all languages.
+WORDS_KEPT, SCORES_KEPT = 300_000, 300_000 * 64
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -61,13 +64,31 @@ def _counts(batches: Batches) -> Batches:
                 )
 
 
+class _Sparse:
+    """Log frequencies of entries by language, of which most are those of an entry the language does not have."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, height: int, width: int) -> None:
+        totals = np.maximum(0.5 * height + np.bincount(columns, counts, width), 1)
+        order = np.argsort(rows, kind="stable")
+        self.columns, self.starts = columns[order].astype(np.int32), np.searchsorted(rows[order], np.arange(height + 1))
+        self.values = np.log((0.5 + counts[order]) / totals[self.columns])
+        self.floor = np.log(0.5 / totals)
+
+    def __getitem__(self, rows: int | list[int]) -> np.ndarray:
+        out = np.tile(self.floor, (np.size(rows), 1))
+        for line, row in zip(out, np.atleast_1d(rows), strict=True):
+            some = slice(self.starts[row], self.starts[row + 1])
+            line[self.columns[some]] = self.values[some]
+        return out if isinstance(rows, list) else out[0]
+
+
 @dataclass
 class Model:
     """Languages, and per n-gram length (0: words) the rows of known entries and their log frequencies."""
 
     languages: list[str]
     rows: list[dict[str, int]]
-    scores: list[np.ndarray]
+    scores: list[np.ndarray | _Sparse]
 
     @classmethod
     def of(cls, languages: list[str], entries: list[tuple[str, int, str, int]]) -> Model:
@@ -77,6 +98,10 @@ class Model:
             rows[n].setdefault(gram, len(rows[n]))
         scores = []
         for n in range(LONGEST + 1):
+            if len(languages) > FIT_LANGUAGES:
+                own = [(rows[n][gram], column[lang], count) for lang, m, gram, count in entries if m == n]
+                scores.append(_Sparse(*np.array(own, np.int64).reshape(-1, 3).T, len(rows[n]), len(languages)))
+                continue
             table = np.full((len(rows[n]), len(languages)), 0.5)
             for lang, m, gram, count in entries:
                 if m == n:
@@ -103,18 +128,21 @@ class Model:
 
 
 def fit(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on rows with a label, of those `usable` marks: about FIT_DOCUMENTS whole texts a language, chosen by hash."""
+    """Fit on rows with a label, of those `usable` marks: about FIT_DOCUMENTS whole texts a language, chosen by hash.
+
+    Every label is learned, so the model and the driver's share of the work grow with the number of labels.
+    """
     spark = df.sparkSession
     text_batches(spark)
     rows = df.where(F.col(lang_col).isNotNull() & (F.lit(True) if usable is None else usable)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(FIT_LANGUAGES)
-    languages = {r["lang"]: r["rows"] for r in sizes.collect()}
+    sizes = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("rows")))
+    languages = [r["lang"] for r in sizes.select("lang").collect()]
     if not languages:
         return Model.of([], [])
-    share = F.element_at(F.create_map(*[x for lang, n in languages.items() for x in (F.lit(lang), F.lit(min(1.0, FIT_DOCUMENTS / n)))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    shares = gated(sizes.select(F.col("lang").alias("of"), F.least(F.lit(1.0), FIT_DOCUMENTS / F.col("rows")).alias("share")))
+    sample = rows.join(shares, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
     counted = sample.mapInArrow(tidy(_counts), "lang string, length int, gram string, count long").groupBy("lang", "length", "gram").agg(F.sum("count").alias("count"))
-    most = FIT_ALL // len(languages) // (LONGEST + 1)
+    most = FIT_ALL // min(len(languages), FIT_LANGUAGES) // (LONGEST + 1)
     rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("count"), "gram"))
     known = counted.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") == 0, min(FIT_WORDS, most)).otherwise(min(FIT_GRAMS, most)))
     entries = [tuple(r) for r in known.select("lang", "length", "gram", "count").collect()]
@@ -126,6 +154,8 @@ class _Known(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__()
+        width = max(1, len(model.languages))
+        self.kept = min(WORDS_KEPT, max(1 << 12, SCORES_KEPT // width))
         self.model, self.table = model, np.empty((1 << 12, len(model.languages)), np.float32)
 
     def __missing__(self, word: str) -> int:
@@ -141,7 +171,7 @@ class _Known(dict):
         words = letters(text) if text else []
         if not self.model.languages or not has_letter(words):
             return UNKNOWN, 0.0
-        if len(self) > WORDS_KEPT:
+        if len(self) > self.kept:
             self.clear()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         total = self.table[rows].sum(axis=0, dtype=np.float64)

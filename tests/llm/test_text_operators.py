@@ -120,6 +120,29 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
     assert language_id.identify(df, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_every_label(spark):
+    """More labels than FIT_LANGUAGES; the rarest are learned, too."""
+    random.seed(3)
+    stock = {f"l{k:03}": ["".join(random.choice("abcdefghijklmnopqrst") for _ in range(7)) for _ in range(6)] for k in range(300)}
+    rows = [(k * 10 + j, " ".join(random.choice(words) for _ in range(20)), lang) for k, (lang, words) in enumerate(stock.items()) for j in range(3 if k < 250 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.languages) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_language_scores_are_the_same_kept_sparse(monkeypatch):
+    random.seed(2)
+    entries = sorted({(lang, n, gram): (lang, n, gram, random.randrange(1, 9)) for lang in "abc" for n in range(5) for gram in random.sample(["k", "ka", "kal", "kala", " kal", "mi", "i"], 4)}.values())
+    dense = language_id.Model.of(["a", "b", "c"], entries)
+    monkeypatch.setattr(language_id, "FIT_LANGUAGES", 2)
+    sparse = language_id.Model.of(["a", "b", "c"], entries)
+    assert isinstance(sparse.scores[0], language_id._Sparse)
+    for word in ("kala", "mi", "kalami", "zz", "ka"):
+        assert np.allclose(dense.word(word), sparse.word(word))
+
+
 def test_language_without_any_label_keeps_texts_with_letters(spark):
     rows = [(1, "kala mala", None), (2, "strom", None), (3, "123 ²³ !", None), (4, None, None), (5, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
