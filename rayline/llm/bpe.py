@@ -19,9 +19,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Batches, text_batches, tidy
+from .common import Batches, tidy
 
 WORDS_KEPT = 300_000
+#: Rows whose texts are encoded together.
+BATCH_ROWS = 500
 #: Words up to this many symbols are merged together in arrays.
 WIDE = 64
 NO_RANK = np.int64(2**62)
@@ -261,7 +263,6 @@ def bpe_encode(df: DataFrame, vocabulary: str, digests: bool = False, id_col: st
     and other columns do not matter, as each row is coded by itself; an empty table gives no rows.
     """
     spark = df.sparkSession
-    text_batches(spark, 500)
     shared = spark.sparkContext.broadcast(Vocabulary.read(vocabulary))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(_code(shared, digests)), DIGESTS if digests else CODED)
+    return rows.mapInArrow(tidy(_code(shared, digests), BATCH_ROWS), DIGESTS if digests else CODED)

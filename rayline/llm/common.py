@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import os
+import re
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +20,55 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 500_000
 
-#: Rows of one Arrow batch for functions that read whole texts.
+#: Rows that a function which reads whole texts is given at a time; Spark bounds the batches themselves by bytes.
 TEXT_BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder of our own will do only if driver and executors are one process.
+    """
     sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if found is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rayline-"))
+    if (found := sc.getCheckpointDir()) is None:
+        home = spark.conf.get("spark.checkpoint.dir", None)
+        if home is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(home or tempfile.mkdtemp(prefix="rayline-"))
         found = sc.getCheckpointDir()
     return found
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in the shared store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_whole(path: str, pieces: Iterable[bytes]) -> None:
+    """A file that appears under its name only when it is whole; writing it again changes nothing."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{path}.{uuid4().hex}"
+    with open(part, "wb") as f:
+        f.writelines(pieces)
+    os.replace(part, path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable copy in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches small where rows hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores after it while `columns` has it; case does not count."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_or_empty(column: Column | str) -> Column:
@@ -66,11 +95,14 @@ def long_column(column: pa.Array, null: int) -> np.ndarray:
 Batches = Iterator[pa.RecordBatch]
 
 
-def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """Have a task's function give its memory back at the end: workers stay, and idle ones should not hold it."""
+def tidy(run: Callable[[Batches], Batches], rows: int = TEXT_BATCH_ROWS) -> Callable[[Batches], Batches]:
+    """Have a task's function see at most `rows` rows at a time, and give its memory back at the end.
+
+    Workers stay, and idle ones should not hold memory.
+    """
 
     def tidied(batches: Batches) -> Batches:
-        yield from run(batches)
+        yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)

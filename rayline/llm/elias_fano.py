@@ -39,25 +39,28 @@ class EliasFano:
         ones = marks.reshape(-1, BLOCK_BITS).sum(axis=1, dtype=np.int64)
         return cls(n, top, bits, np.packbits(low.reshape(-1), bitorder="little"), np.packbits(marks, bitorder="little"), (np.cumsum(ones) - ones).astype(np.uint32))
 
-    def select(self, i: int) -> int:
-        """The i-th value."""
-        if not 0 <= i < self.size:
+    def select(self, i: int | np.ndarray) -> int | np.ndarray:
+        """The value at an index, or those at an array of indices, as signed 64-bit numbers.
+
+        The directory leads to a block for each; only these blocks are unpacked.
+        """
+        at = np.atleast_1d(np.asarray(i, np.int64))
+        if len(at) and not (0 <= at.min() and at.max() < self.size):
             raise IndexError(i)
-        block = int(np.searchsorted(self.before, i, side="right")) - 1
-        step = BLOCK_BITS // 8
-        bits = np.unpackbits(self.high[block * step : (block + 1) * step], bitorder="little")
-        place = block * BLOCK_BITS + int(np.flatnonzero(bits)[i - int(self.before[block])])
-        start, stop = i * self.low_bits, (i + 1) * self.low_bits
-        part = np.unpackbits(self.low[start // 8 : -(-stop // 8)], bitorder="little")[start % 8 : start % 8 + self.low_bits]
-        return ((place - i) << self.low_bits) | sum(int(b) << k for k, b in enumerate(part))
+        blocks, which = np.unique(np.searchsorted(self.before, at, side="right") - 1, return_inverse=True)
+        bits = np.unpackbits(self.high.reshape(-1, BLOCK_BITS // 8)[blocks], axis=1, bitorder="little")
+        ones = bits.sum(axis=1, dtype=np.int64)
+        place = np.flatnonzero(bits)[(np.cumsum(ones) - ones - self.before[blocks])[which] + at]
+        place = blocks[place // BLOCK_BITS] * BLOCK_BITS + place % BLOCK_BITS
+        steps = np.arange(self.low_bits, dtype=np.uint64)
+        lows = at[:, None] * self.low_bits + steps.astype(np.int64)
+        low = ((self.low[lows >> 3] >> (lows & 7).astype(np.uint8)) & 1).astype(np.uint64) << steps
+        found = (((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | low.sum(axis=1, dtype=np.uint64)).view(np.int64)
+        return found if np.ndim(i) else int(found[0])
 
     def values(self) -> np.ndarray:
-        """All values, in one pass over the bits."""
-        if not self.size:
-            return np.empty(0, np.int64)
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        low = np.unpackbits(self.low, count=self.size * self.low_bits, bitorder="little").reshape(self.size, self.low_bits).astype(np.int64)
-        return ((places - np.arange(self.size)) << self.low_bits) + low @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        """All values."""
+        return self.select(np.arange(self.size))
 
     def pack(self) -> bytes:
         return _HEAD.pack(self.size, self.top, self.low_bits, len(self.high)) + self.before.astype("<u4").tobytes() + self.high.tobytes() + self.low.tobytes()

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, Batches, checkpointed, gated, long_column, text_batches, text_or_empty, tidy
+from .common import SPACE, Batches, checkpointed, gated, long_column, text_or_empty, tidy
 
 NO_ID = -(2**63)
 PREFIX_CHARS = 24
@@ -107,7 +107,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     has no identifier (keep_id is then null).  Rows that repeat an identifier and a text are one group, of which one
     row stays.  An empty table gives no rows.  Only the two named columns are read, whatever else the table holds.
     """
-    text_batches(df.sparkSession)
     rows = (
         df.select(F.col(id_col).cast("long").alias("doc_id"), normal(text_col).alias("norm"))
         .select("doc_id", "norm", F.substring("norm", 1, PREFIX_CHARS).alias("head"), F.xxhash64("norm").alias("hash"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Batches, checkpointed, gated, text_batches, tidy
+from .common import Batches, checkpointed, gated, tidy
 
 UNKNOWN = "und"
 LONGEST = 4
@@ -133,7 +133,6 @@ def fit(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id", tex
     Every label is learned, so the model and the driver's share of the work grow with the number of labels.
     """
     spark = df.sparkSession
-    text_batches(spark)
     rows = df.where(F.col(lang_col).isNotNull() & (F.lit(True) if usable is None else usable)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("rows")))
     languages = [r["lang"] for r in sizes.select("lang").collect()]
@@ -199,7 +198,6 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows.
     """
     spark = df.sparkSession
-    text_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidy(_predict(shared)), "doc_id long, lang_pred string, score double")
@@ -222,7 +220,6 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFr
     A model without languages (no row has a label) can tell none apart: then only texts without a letter are rejected.
     """
     spark = docs.sparkSession
-    text_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Batches) -> Batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Batches, as_bytes, checkpointed, gated, text_batches, text_or_empty, tidy
+from .common import Batches, as_bytes, checkpointed, gated, text_or_empty, tidy
 from .components import components
 
 #: One in so many of a set's shingles is looked at beyond what one shared leading column would need.
@@ -245,7 +245,6 @@ def _labelled(df: DataFrame, law: Law, id_col: str, text_col: str, marked: bool
     Where identifiers repeat, several groups may have one component_id.
     """
     spark = df.sparkSession
-    text_batches(spark)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     extra = ["mark"] if marked else []
     read = texts.withColumn("mark", _mark("text")) if marked else texts

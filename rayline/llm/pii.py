@@ -14,7 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Batches, text_batches
+from .common import Batches, tidy
 
 Span = tuple[int, int]
 
@@ -228,6 +228,5 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are read one by one, so null or repeated identifiers and other columns do not matter, and an empty table gives no
     rows.  `spans` lists kind:start:end by kind and start, the base kinds first.
     """
-    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(_find), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Batches, as_bytes, text_batches
+from .common import Batches, as_bytes, tidy
 
 #: Characters that count as symbols, and white space, as bytes to delete.
 SYMBOLS = b"#*$%&|<>"
@@ -106,9 +106,8 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     A null or empty text has no words, and fails the rule of few words only.  Rows are measured one by one: null or
     repeated identifiers and other columns do not matter, and an empty table gives no rows.
     """
-    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = rows.mapInArrow(tidy(_measure), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = [F.when(F.expr(r.fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(RULES)]
     total = bits[0]
     for b in bits[1:]:

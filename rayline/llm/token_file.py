@@ -1,10 +1,11 @@
 """Token-id files: a concatenated id array with Elias-Fano coded document boundaries.
 
 The corpus is range-partitioned by document id.  A partition is written as segments in order; a segment is a file
-image of its own: header, document ids, Elias-Fano code of the boundaries (with its select directory), then the ids
-of all its documents, 2 bytes each where the vocabulary allows.  Images are stored through Spark's table writer, in a
-folder that all executors share, so a lost task or executor is simply run again; export_segments() puts them into
-plain files.  A segment is bounded in ids, and one document of any length fits in one.
+image of its own: header, Elias-Fano codes of the document ids and of the boundaries (each with its select directory),
+then the ids of all its documents, 2 bytes each where the vocabulary allows.  Readers take offsets from select alone;
+no table of 64-bit offsets or names is stored.  Images are stored through Spark's table writer, in a folder that all
+executors share, so a lost task or executor is simply run again; export_segments() puts them into plain files.  A
+segment is bounded in ids, and one document of any length fits in one.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Batches, shared_dir, text_batches
+from .common import Batches, checkpointed, remove, shared_dir, tidy, write_whole
 from .elias_fano import EliasFano
 
-MAGIC = b"RLTOK\x01"
-_HEAD = struct.Struct("<6sBxQQ")
+MAGIC = b"RLTOK\x02"
+#: Magic, bytes of an id, documents with an identifier and without, the smallest identifier, ids.
+_HEAD = struct.Struct("<6sBxQQqQ")
 SEGMENT_IDS = 2_000_000
 #: Pieces a worker remembers before it starts again.
 WORDS_KEPT = 1_300_000
-NO_ID = -(2**63)
+#: Rows whose texts are encoded together.
+BATCH_ROWS = 600
 
 #: Bytes of text handled at a time; the library gets a longer text whole.
 SLAB_BYTES = 2 << 20
@@ -49,30 +52,41 @@ TEXT_START = 255
 class Segment:
     """One file image, parsed."""
 
-    doc_ids: np.ndarray
+    first: int
+    names: EliasFano  # identifiers above the first
+    nulls: int
     bounds: EliasFano
     ids: np.ndarray
 
     @staticmethod
-    def pack(doc_ids: np.ndarray, sizes: np.ndarray, ids: bytes, width: int) -> bytes:
+    def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: bytes, width: int) -> bytes:
+        """Documents come in order of their identifiers, those without one last."""
+        known = np.array([x for x in doc_ids if x is not None], np.int64)
+        if (known[1:] < known[:-1]).any() or None in doc_ids[: len(known)]:
+            raise ValueError("documents out of order")
+        first = int(known[0]) if len(known) else 0
+        names = EliasFano.of((known - np.int64(first)).view(np.uint64))
         bounds = EliasFano.of(np.concatenate([[0], np.cumsum(sizes)]))
-        return _HEAD.pack(MAGIC, width, len(doc_ids), len(ids) // width) + doc_ids.astype("<i8").tobytes() + bounds.pack() + ids
+        return _HEAD.pack(MAGIC, width, len(known), len(doc_ids) - len(known), first, len(ids) // width) + names.pack() + bounds.pack() + ids
 
     @classmethod
     def unpack(cls, image: bytes) -> Segment:
-        magic, width, docs, count = _HEAD.unpack_from(image)
+        magic, width, docs, nulls, first, count = _HEAD.unpack_from(image)
         if magic != MAGIC:
             raise ValueError("not a token segment")
-        doc_ids = np.frombuffer(image, "<i8", docs, _HEAD.size)
-        bounds, at = EliasFano.unpack(image, _HEAD.size + 8 * docs)
-        ids = np.frombuffer(image, f"<u{width}", count, at)
-        if len(image) != at + width * count or bounds.size != docs + 1 or bounds.top != count:
+        names, at = EliasFano.unpack(image, _HEAD.size)
+        bounds, at = EliasFano.unpack(image, at)
+        if len(image) != at + width * count or names.size != docs or bounds.size != docs + nulls + 1 or bounds.top != count:
             raise ValueError("damaged token segment")
-        return cls(doc_ids, bounds, ids)
+        return cls(first, names, nulls, bounds, np.frombuffer(image, f"<u{width}", count, at))
+
+    def doc_ids(self) -> pa.Array:
+        return pa.concat_arrays([pa.array(self.names.values() + np.int64(self.first)), pa.nulls(self.nulls, pa.int64())])
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, by two selects."""
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
+        start, end = self.bounds.select(np.array([i, i + 1]))
+        return self.ids[start:end]
 
 
 class _Hash:
@@ -130,9 +144,10 @@ class ByteEncoder:
     """Encodes whole texts with the tokenizers library.
 
     The library splits a text before it merges; its own units begin at a space that follows a word and reach over no
-    other.  So a text is cut before spaces into pieces, pieces are remembered under two 64-bit hashes with their ids,
-    and of new pieces each unit goes through the library once.  Texts in which white space or special tokens stand
-    about a space, and ones longer than a slab, go through the library whole.
+    other.  So a text is cut before spaces into pieces, pieces are remembered under a hash with their bytes and ids,
+    and of new pieces each unit goes through the library once.  Every piece is compared in full with the one it was
+    found to be; a text with a piece that only shares a hash goes through the library whole, and so do texts in which
+    white space or special tokens stand about a space, and ones longer than a slab.
     """
 
     def __init__(self, spec: str, end: int, width: int) -> None:
@@ -144,11 +159,12 @@ class ByteEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(1 + max(vocabulary.values()), np.int64)  # bytes of a token: a letter stands for each
         self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.first, self.second = _Hash(1), _Hash(2)
+        self.hash = _Hash(1)
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.checks, self.numbers = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.seen = _Ids(np.empty(0, np.uint8), np.zeros(1, np.int64))  # the bytes of each piece
         self.known, self.spaced = _Units(), np.empty(0, bool)
         self.units = _Ids(np.empty(0, f"<u{self.width}"), np.empty(0, np.int64))
         self.pieces = _Ids(np.array([self.end], f"<u{self.width}"), np.ones(1, np.int64))  # number 0 is the end id
@@ -190,35 +206,39 @@ class ByteEncoder:
         out = np.empty(len(starts), np.int64)
         out[order] = len(self.pieces.sizes) + np.arange(len(starts))
         self.pieces.add(ids, np.diff(until, prepend=0))
+        self.seen.add(np.frombuffer(b"".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint8), ends - starts)
         return out
 
-    def slab(self, texts: list[bytes]) -> list[np.ndarray] | None:
-        """Ids of texts that can be cut before spaces; None if two pieces share a hash."""
+    def mistaken(self, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Which pieces of a slab are not the pieces of their numbers, byte by byte."""
+        other = self.seen.sizes[numbers] != sizes
+        shift = np.where(other, 0, self.seen.starts[numbers]) - starts
+        seen = np.take(self.seen.ids, np.arange(len(buffer)) + np.repeat(shift, sizes), mode="clip")
+        return other | np.logical_or.reduceat(seen != buffer, starts)
+
+    def slab(self, texts: list[bytes]) -> list[np.ndarray | None]:
+        """Ids of texts that can be cut before spaces; None where a piece shares its hash with another."""
         raw = b"".join(x for t in texts for x in (b"\xff", t))
         buffer = np.frombuffer(raw, np.uint8)
         starts = np.flatnonzero((buffer == 32) | (buffer == TEXT_START))
         ends = np.append(starts[1:], len(buffer))
-        key, check = self.first.of(buffer, starts, ends), self.second.of(buffer, starts, ends)
-        keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        checks = check[at]
-        if (checks[inverse] != check).any():
-            return None
+        keys, at, inverse = np.unique(self.hash.of(buffer, starts, ends), return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
         near = np.minimum(place, len(self.keys) - 1)
         known = (self.keys[near] == keys) if len(self.keys) else np.zeros(len(keys), bool)
-        if len(self.keys) and (self.checks[near][known] != checks[known]).any():
-            return None
         numbers = np.empty(len(keys), np.int64)
         numbers[known] = self.numbers[near[known]]
         new = ~known
         if new.any():
             numbers[new] = self.learn(raw, starts[at[new]], ends[at[new]])
-            self.keys, self.checks, self.numbers = (np.insert(old, place[new], x[new]) for old, x in ((self.keys, keys), (self.checks, checks), (self.numbers, numbers)))
+            self.keys, self.numbers = (np.insert(old, place[new], x[new]) for old, x in ((self.keys, keys), (self.numbers, numbers)))
         heads = np.flatnonzero(buffer[starts] == TEXT_START)
-        pieces = np.insert(numbers[inverse], np.append(heads[1:], len(starts)), 0)
+        mine = numbers[inverse]
+        wrong = np.logical_or.reduceat(self.mistaken(buffer, starts, ends - starts, mine), heads)
+        pieces = np.insert(mine, np.append(heads[1:], len(starts)), 0)
         ids, after = self.pieces.gather(pieces)
         lasts = np.append(heads[1:], len(starts)) + np.arange(len(heads))
-        return np.split(ids, after[lasts[:-1]])
+        return [None if w else x for w, x in zip(wrong.tolist(), np.split(ids, after[lasts[:-1]]), strict=True)]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array([*x.ids, self.end], self.pieces.ids.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -235,8 +255,8 @@ class ByteEncoder:
             if len(self.keys) > WORDS_KEPT:
                 self.forget()
             found = self.slab(raw) if raw else []
-            for i, ids in zip(waiting, self.whole([texts[i] for i in waiting]) if found is None else found, strict=True):
-                out[i] = ids
+            for i, ids in zip(waiting, found, strict=True):
+                out[i] = self.whole([texts[i]])[0] if ids is None else ids
             waiting.clear()
             raw.clear()
             held = 0
@@ -274,16 +294,16 @@ def _write(spec, end: int, width: int):
     def run(batches: Batches) -> Batches:
         encoder = _encoder(spec.value, end, width)
         part, seq, base = TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         coded: list[np.ndarray] = []
         size = 0
 
         def segment():
-            image = Segment.pack(np.array(docs, np.int64), np.array([len(x) for x in coded], np.int64), np.concatenate(coded).tobytes(), width)
+            image = Segment.pack(docs, np.array([len(x) for x in coded], np.int64), np.concatenate(coded).tobytes(), width)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "base": [base], "docs": [len(docs)], "ids": [size], "image": [image]}, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("base", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("image", pa.binary())]))
 
         for b in batches:
-            names = b.column("doc_id").fill_null(NO_ID).to_pylist()
+            names = b.column("doc_id").to_pylist()
             for name, ids in zip(names, encoder.encode([x or "" for x in b.column("text").to_pylist()]), strict=True):
                 if coded and size + len(ids) > SEGMENT_IDS:
                     yield segment()
@@ -300,11 +320,12 @@ def _write(spec, end: int, width: int):
 def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append `end`, and write segments in ascending order of identifiers to `folder`.
 
-    Null identifiers come last; rows that repeat an identifier stand next to each other, in order of a hash of their
-    texts.  A null text is the empty text: its ids are the end id alone.
+    Null identifiers come last; rows that repeat an identifier (or have none) stand next to each other, in order of a
+    hash of their texts, and are spread over as many tasks as they fill.  A null text is the empty text: its ids are
+    the end id alone.  A text of any length is one document of one segment.  Other columns are not read, and an empty
+    table gives an empty folder.
     """
     spark = df.sparkSession
-    text_batches(spark, 600)
     with open(tokenizer, encoding="utf-8") as f:
         text = f.read()
     from tokenizers import Tokenizer
@@ -312,21 +333,21 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int, id_col: s
     width = 2 if max(end, Tokenizer.from_str(text).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
     spec = spark.sparkContext.broadcast(text)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
-    ordered.mapInArrow(_write(spec, end, width), SEGMENTS).write.option("compression", "zstd").parquet(folder)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("row")]
+    keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered.mapInArrow(tidy(_write(spec, end, width), BATCH_ROWS), SEGMENTS).write.option("compression", "zstd").parquet(folder)
 
 
 def _read(batches: Batches) -> Batches:
     for b in batches:
         for offset, base, image in zip(b.column("offset").to_pylist(), b.column("base").to_pylist(), b.column("image"), strict=True):
             segment = Segment.unpack(image.as_py())
-            bounds = segment.bounds.values()
+            bounds = segment.bounds.select(np.arange(segment.bounds.size))
             wide = segment.ids.astype("<u4")
             crc = [zlib.crc32(wide[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            names = segment.doc_ids
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, mask=names == NO_ID), pa.array(bounds[:-1] + offset + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                [segment.doc_ids(), pa.array(bounds[:-1] + offset + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
@@ -337,29 +358,38 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     Each segment knows the ids before it in its partition; the ids of earlier partitions come from one small row per
     partition.
     """
-    text_batches(spark, 16)
     stored = spark.read.schema(SEGMENTS).parquet(folder)
     sizes = stored.groupBy("part").agg(F.sum("ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
     rows = stored.join(F.broadcast(offsets), "part").select("offset", "base", "image")
-    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export_segments(spark: SparkSession, folder: str, target: str) -> int:
-    """Write each segment as a plain file under a directory the driver sees, one at a time; their number."""
-    os.makedirs(target, exist_ok=True)
-    count = 0
-    for row in spark.read.schema(SEGMENTS).parquet(folder).orderBy("part", "seq").toLocalIterator():
-        with open(os.path.join(target, f"tokens-{row['part']:05d}-{row['seq']:05d}.rltok"), "wb") as f:
-            f.write(row["image"])
-        count += 1
-    return count
+    """Write each segment as a plain file into a directory that driver and executors share; their number.
+
+    Tasks write their own files, each whole or not at all, so a lost task is simply run again.
+    """
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            for part, seq, image in zip(b.column("part").to_pylist(), b.column("seq").to_pylist(), b.column("image"), strict=True):
+                write_whole(os.path.join(target, f"tokens-{part:05d}-{seq:05d}.rltok"), [image.as_py()])
+            yield pa.RecordBatch.from_pydict({"files": pa.array([b.num_rows], pa.int64())})
+
+    stored = spark.read.schema(SEGMENTS).parquet(folder).select("part", "seq", "image")
+    return stored.mapInArrow(tidy(run), "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
 def token_round_trip(df: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
-    """Write the token files of a table into the shared folder and read them back; an empty table gives no rows."""
+    """Write the token files of a table into the shared folder and read them back; an empty table gives no rows.
+
+    The files are deleted once they are read.
+    """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid4().hex}"
     write_tokens(df, tokenizer, folder, end)
-    return read_tokens(spark, folder)
+    found = checkpointed(read_tokens(spark, folder))
+    remove(spark, folder)
+    return found

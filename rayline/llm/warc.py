@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import groupby
 from uuid import uuid4
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Batches, checkpointed, gated, shared_dir, text_batches, text_or_empty
+from .common import Batches, checkpointed, gated, remove, shared_dir, text_or_empty, tidy, write_whole
 
 #: Bytes of payload in one chunk, and of chunks in one batch on the way to the table.
 CHUNK_BYTES, BATCH_BYTES = 64 << 10, 4 << 20
@@ -159,17 +160,18 @@ def write_archive(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     A null payload is the empty payload.  Of equal payloads of LEAST_REVISIT bytes or more the smallest identifier is
     the response and the others revisit it; rows that repeat that identifier and payload are responses too, with the
-    same record name.  A row without an identifier may revisit but is never referred to.
+    same record name.  A row without an identifier may revisit but is never referred to.  A payload of any length is cut
+    into chunk rows, and other columns than identifier, address and payload are not read.  An empty table gives an
+    empty folder.
     """
     spark = df.sparkSession
-    text_batches(spark, 500)
     url = F.col(url_col) if url_col in df.columns else F.lit("")
     html = text_or_empty(payload_col)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), url.cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
     sized = checkpointed(pages.select("page_id", "digest", F.octet_length("html").alias("size")))
     later = gated(revisits(sized).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to"))
     rows = pages.join(later, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
-    rows.mapInArrow(_write, RECORDS_DDL).write.option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(tidy(_write), RECORDS_DDL).write.option("compression", "zstd").parquet(folder)
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,28 +179,38 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
     Records of one chunk are parsed where they lie; only the chunks of larger ones are brought together.
     """
-    text_batches(spark, 200)
     stored = spark.read.schema(RECORDS_DDL).parquet(folder)
     columns = ["part", "record", "chunk", "chunks", "data", "payload_so_far", "digest_so_far"]
-    whole = stored.where("chunks = 1").select(columns).mapInArrow(_read, READ_DDL)
-    cut = stored.where("chunks > 1").select(columns).repartition("part", "record").sortWithinPartitions("part", "record", "chunk").mapInArrow(_read, READ_DDL)
+    whole = stored.where("chunks = 1").select(columns).mapInArrow(tidy(_read), READ_DDL)
+    cut = stored.where("chunks > 1").select(columns).repartition("part", "record").sortWithinPartitions("part", "record", "chunk").mapInArrow(tidy(_read), READ_DDL)
     return whole.union(cut)
 
 
 def export_archives(spark: SparkSession, folder: str, target: str) -> int:
-    """Write each part as a .warc file under a directory the driver sees, a chunk at a time; their number."""
-    os.makedirs(target, exist_ok=True)
-    parts: set[int] = set()
-    for row in spark.read.schema(RECORDS_DDL).parquet(folder).orderBy("part", "record", "chunk").toLocalIterator():
-        with open(os.path.join(target, f"pages-{row['part']:05d}.warc"), "ab" if row["part"] in parts else "wb") as f:
-            f.write(row["data"])
-        parts.add(row["part"])
-    return len(parts)
+    """Write each part as a .warc file into a directory that driver and executors share; their number.
+
+    Tasks write their own files, a chunk at a time, and each appears whole or not at all.
+    """
+
+    def run(batches: Batches) -> Batches:
+        chunks = (x for b in batches for x in zip(b.column("part").to_pylist(), b.column("data"), strict=True))
+        for part, some in groupby(chunks, key=lambda x: x[0]):
+            write_whole(os.path.join(target, f"pages-{part:05d}.warc"), (data.as_py() for _, data in some))
+            yield pa.RecordBatch.from_pydict({"files": pa.array([1], pa.int64())})
+
+    rows = spark.read.schema(RECORDS_DDL).parquet(folder).select("part", "record", "chunk", "data")
+    ordered = rows.repartition("part").sortWithinPartitions("part", "record", "chunk")
+    return ordered.mapInArrow(tidy(run), "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
 def archive_round_trip(df: DataFrame) -> DataFrame:
-    """Write a table of pages to archives in the shared folder and read them back; an empty table gives no rows."""
+    """Write a table of pages to archives in the shared folder and read them back; an empty table gives no rows.
+
+    The archives are deleted once they are read.
+    """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/archive-{uuid4().hex}"
     write_archive(df, folder)
-    return read_archive(spark, folder)
+    found = checkpointed(read_archive(spark, folder))
+    remove(spark, folder)
+    return found

@@ -220,6 +220,8 @@ def test_elias_fano_round_trip(values):
     code, end = EliasFano.unpack(b"__" + EliasFano.of(np.array(values, np.int64)).pack(), 2)
     assert code.values().tolist() == values
     assert [code.select(i) for i in range(0, len(values), 7)] == values[::7]
+    some = np.arange(len(values))[::-3]
+    assert code.select(some).tolist() == [values[i] for i in some]
 
 
 def test_elias_fano_is_small():
@@ -227,6 +229,65 @@ def test_elias_fano_is_small():
     assert len(EliasFano.of(values).pack()) * 8 < 100_000 * (2 + 10 + 1.2)
 
 
+def thue_morse(size):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(size))
+
+
+def test_byte_encoder_tells_colliding_pieces_apart():
+    """Sums of powers modulo 2 ** 64 cannot tell these from their complements, whatever the codes."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    spec = open(public.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    library = Tokenizer.from_str(spec)
+    for size in (1024, 2048):
+        x = thue_morse(size)
+        y = x.translate(str.maketrans("ab", "ba"))
+        texts = [x, y, "q " + x, "q " + y, f"{y} and {x}", "a b"]
+        want = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        one = token_file.ByteEncoder(spec, 2, 2)
+        assert [i.tolist() for i in one.encode(texts)] == want
+        apart = token_file.ByteEncoder(spec, 2, 2)
+        assert [apart.encode([t])[0].tolist() for t in texts] == want
+    # Every piece under one hash: nothing but the comparison tells them apart.
+    blind = token_file.ByteEncoder(spec, 2, 2)
+    blind.hash.of = lambda buffer, starts, ends: np.zeros(len(starts), np.uint64)
+    texts = ["a", "b", "ab", "a b a", "", "é a"]
+    assert [i.tolist() for i in blind.encode(texts)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_byte_encoder_equals_the_library():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    spec = open(public.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    library, encoder = Tokenizer.from_str(spec), token_file.ByteEncoder(spec, 2, 2)
+    random.seed(17)
+    letters = "abcdefgh   \n\t'.,12²½éßç漢<|>\x1c\x85\xa0\u3000"
+    texts = ["".join(random.choice(letters) for _ in range(random.choice([0, 1, 4, 30, 200]))) for _ in range(3000)]
+    want = [x.ids + [2] for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
+def test_segments_keep_odd_identifiers():
+    ids = [-(2**63), -5, -5, 0, 2**63 - 1, None, None]
+    image = token_file.Segment.pack(ids, np.array([1, 0, 2, 1, 1, 3, 1]), np.arange(9, dtype="<u2").tobytes(), 2)
+    found = token_file.Segment.unpack(image)
+    assert found.doc_ids().to_pylist() == ids
+    assert [found.document(i).tolist() for i in range(7)] == [[0], [], [1, 2], [3], [4], [5, 6, 7], [8]]
+    with pytest.raises(ValueError):
+        token_file.Segment.pack([2, 1], np.array([0, 0]), b"", 2)
+
+
+def test_token_files_of_repeated_identifiers(spark):
+    """Rows under one identifier, or none, are spread over tasks; starts stay gapless."""
+    public = pytest.importorskip("public_tokenizers")
+    rows = [(None, "same text")] * 300 + [(7, f"text {i}") for i in range(300)] + [(8, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((r["start"], r["n_tokens"]) for r in token_file.token_round_trip(df, public.path("byte_bpe_50k.json")).collect())
+    assert len(got) == len(rows) and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
+
+
 def test_token_files(spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
