@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -176,8 +177,8 @@ def test_language_scores_are_the_same_kept_sparse(monkeypatch):
     monkeypatch.setattr(language_id, "FIT_LANGUAGES", 2)
     sparse = language_id.Model.of(["a", "b", "c"], entries)
     assert isinstance(sparse.scores[0], language_id._Sparse)
-    for word in ("kala", "mi", "kalami", "zz", "ka"):
-        assert np.allclose(dense.word(word), sparse.word(word))
+    words = ["kala", "mi", "kalami", "zz", "ka"]
+    assert np.allclose(dense.score(words), sparse.score(words))
 
 
 def test_language_without_any_label_keeps_texts_with_letters(spark):
@@ -191,11 +192,80 @@ def test_language_without_any_label_keeps_texts_with_letters(spark):
 def test_language_backs_off_to_shorter_grams():
     entries = [("a", 0, "abc", 5), ("a", 4, " abc", 5), ("a", 2, "bc", 5), ("b", 1, "z", 9), ("a", 1, "q", 1)]
     model = language_id.Model.of(["a", "b"], entries)
-    assert model.word("abc") is not None and model.word("abc")[0] == model.scores[0][0][0]
-    unseen = model.word("zzz")
+    assert model.score(["abc"])[0, 0] == model.scores[0][0][0]
+    unseen = model.score(["zzz"])[0]
     assert unseen[1] > unseen[0]
 
 
+def plainly_fitted(rows, words_most, grams_most):
+    """Log frequencies by length, entry and language, from dictionaries."""
+    tables = [defaultdict(Counter) for _ in range(5)]  # by length, language and entry
+    for lang, text in rows:
+        for word in language_id.TOKEN.findall((text or "").lower()):
+            tables[0][lang][word] += 1
+            for n in range(1, 5):
+                for i in range(len(word) + 3 - n):
+                    tables[n][lang][f" {word} "[i : i + n]] += 1
+    langs = sorted({lang for lang, _ in rows})
+    out = []
+    for n, table in enumerate(tables):
+        top = {lang: dict(sorted(table[lang].items(), key=lambda x: (-x[1], x[0]))[: grams_most if n else words_most]) for lang in langs}
+        known = {g for lang in langs for g in top[lang]}
+        totals = {lang: max(1, sum(top[lang].get(g, 0) + 0.5 for g in known)) for lang in langs}
+        out.append({g: {lang: math.log((top[lang].get(g, 0) + 0.5) / totals[lang]) for lang in langs} for g in known})
+    return langs, out
+
+
+def plainly_judged(text, langs, tables):
+    words = language_id.TOKEN.findall((text or "").lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    total = dict.fromkeys(langs, 0.0)
+    for word in words:
+        if word in tables[0]:
+            some = [tables[0][word]]
+        else:
+            padded, some = f" {word} ", []
+            for i in range(len(padded) - 1):
+                found = [tables[n][padded[i : i + n]] for n in (4, 3, 2, 1) if i + n <= len(padded) and padded[i : i + n] in tables[n]]
+                some += found[:1]
+        for lang in langs:
+            total[lang] += sum(x[lang] for x in some) / max(1, len(some))
+    best = max(langs, key=lambda x: total[x])
+    return best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)
+
+
+def test_language_equals_a_plain_version(spark, monkeypatch):
+    """Model and scores against dictionaries, with bounds that cut words and n-grams."""
+    monkeypatch.setattr(language_id, "FIT_WORDS", 12)
+    monkeypatch.setattr(language_id, "FIT_GRAMS", 30)
+    monkeypatch.setattr(language_id, "AT_ONCE", 64)
+    random.seed(9)
+    stock = {"aa": "kala mala tunu reki ñandú", "bb": "strom zwei schloß kopf über", "cc": "漢字 かな 𝒳𝒴 kala élan"}
+    make = lambda lang: " ".join(random.choice(stock[lang].split()) + random.choice(["", "s", "en", "é"]) for _ in range(random.randrange(1, 9)))
+    rows = [(i, make(lang), lang) for i in range(90) for lang in [random.choice(sorted(stock))]]
+    unknown = [(200, "unseen words é𝒴漢 qqq", None), (201, None, None), (202, "12 ²", None), (203, " ".join(make(x) for x in stock) * 30, None)]
+    df = spark.createDataFrame(rows + unknown, "doc_id long, text string, lang string")
+    langs, tables = plainly_fitted([(lang, t) for _, t, lang in rows], 12, 30)
+    model = language_id.fit(df)
+    assert model.languages == langs
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df, model).collect()}
+    for i, text, _ in rows + unknown:
+        lang, score = plainly_judged(text, langs, tables)
+        assert got[i][1] == pytest.approx(score, rel=1e-3, abs=1e-6), (i, text)
+        assert got[i][0] == lang or score < 0.51
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """With null and repeated identifiers and repeated rows; always the same one."""
+    monkeypatch.setattr(language_id, "FIT_DOCUMENTS", 40)
+    rows = [(None, f"text {i}", "aa") for i in range(2000)] + [(5, f"more {i}", "bb") for i in range(2000)] + [(6, "again", "cc")] * 2000 + [(7, None, "dd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once = sorted(map(repr, language_id.sample(df).collect()))
+    assert once == sorted(map(repr, language_id.sample(df.repartition(7)).collect()))
+    assert Counter(r["lang"] for r in language_id.sample(df).collect()) == {"aa": 40, "bb": 40, "cc": 1, "dd": 1}
+
+
 @pytest.fixture(scope="module")
 def word_tokenizer():
     public = pytest.importorskip("public_tokenizers")
