@@ -206,7 +206,7 @@ class ByteEncoder:
         out = np.empty(len(starts), np.int64)
         out[order] = len(self.pieces.sizes) + np.arange(len(starts))
         self.pieces.add(ids, np.diff(until, prepend=0))
-        self.seen.add(np.frombuffer(b"".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint8), ends - starts)
+        self.seen.add(np.frombuffer(b"".join([raw[s:e] for s, e in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]), np.uint8), (ends - starts)[order])
         return out
 
     def mistaken(self, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:

@@ -374,6 +374,9 @@ def test_byte_encoder_equals_the_library():
     texts = ["".join(random.choice(letters) for _ in range(random.choice([0, 1, 4, 30, 200]))) for _ in range(3000)]
     want = [x.ids + [2] for x in library.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in encoder.encode(texts)] == want
+    plain = [" ".join("".join(random.choice("abcdé .,1") for _ in range(80)).split()) for _ in range(200)]
+    encoder.whole = lambda some: pytest.fail("plain texts are cut into pieces")
+    assert [x.tolist() for x in encoder.encode(plain)] == [x.ids + [2] for x in library.encode_batch(plain, add_special_tokens=False)]
 
 
 def test_segments_keep_odd_identifiers():
