@@ -8,10 +8,13 @@ of the matrix with its transpose holds the overlap of each pair; most of it is n
   enough of its leading columns occur in another row too; the bound follows from its size alone.
 * Surviving rows are cut into families, connected by shared leading columns; the most frequent of a row's columns may
   be left out here, by the same count.  Rows of different families have no product worth forming.
-* A family is multiplied in blocks of bounded size.  Large families are cut by size class and hash, and only block
-  pairs whose size classes can reach the threshold are multiplied.  A block's overlaps are accumulated column by
-  column, pairs below the bound given by their sizes are discarded, and what leaves the task is a spanning star of
-  each linked group, never the pairs.
+* A family is multiplied in blocks of bounded size.  A large one is cut by size class and hash into parts.  First each
+  part is multiplied with itself and with the first part of its class, which settles groups of alike rows at a cost in
+  proportion to them: rows of the family's largest group need no product with each other any more.  Then two parts are
+  multiplied if their size classes can reach the threshold, and each sends the other only those rows that share one
+  of the columns that made the family with an open row there.
+* A block's overlaps are accumulated column by column, pairs below the bound given by their sizes are discarded, and
+  what leaves the task is a spanning star of each linked group, never the pairs.
 
 All of it is exact: no cap on partners, candidates or column frequencies.
 """
@@ -26,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Batches, as_bytes, checkpointed, gated, text_or_empty, tidy
+from .common import BROADCAST_ROWS, Batches, as_bytes, checkpointed, fresh, gated, text_or_empty, tidy
 from .components import components
 
 #: One in so many of a set's shingles is looked at beyond what one shared leading column would need.
@@ -34,7 +37,9 @@ SPARE = 10
 #: Known words a worker remembers before it starts again.
 WORDS_KEPT = 400_000
 #: Bounds of one side of a block: rows, and entries of these rows.
-BLOCK_ROWS, BLOCK_ENTRIES = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_ENTRIES = 256, 1_000_000
+#: A digest of more rows than this is never joined by a shuffle.
+HOT_ROWS = 100_000
 #: A column met by more rows of a block than this is multiplied densely.
 DENSE_FROM = 12
 
@@ -117,8 +122,11 @@ def _sets(law: Law, whole: bool, marked: bool = False):
 SETS = "doc_id long, n long, digest binary, cols array<long>"
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The product of the incidence matrix of `sets` with its transpose: overlap counts, zero on the diagonal."""
+def overlaps(sets: list[np.ndarray], left: int = 0) -> np.ndarray:
+    """The product of the incidence matrix of `sets` with its transpose: overlap counts, zero on the diagonal.
+
+    With `left`, only the products of the first so many sets with the others are formed.
+    """
     m = len(sets)
     counts = np.zeros((m, m), np.int32)
     columns = np.concatenate(sets)
@@ -129,32 +137,37 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     df = np.diff(np.concatenate([starts, [len(columns)]]))
     flat = counts.reshape(-1)
     for d in range(2, min(DENSE_FROM, m) + 1):
-        postings = rows[starts[df == d][:, None] + np.arange(d)]
+        postings = rows[starts[df == d][:, None] + np.arange(d)]  # rows ascend
         for i in range(d):
             for j in range(i + 1, d):
-                np.add.at(flat, postings[:, i] * m + postings[:, j], 1)
+                a, b = postings[:, i], postings[:, j]
+                if left:
+                    across = (a < left) & (b >= left)
+                    a, b = a[across], b[across]
+                np.add.at(flat, a * m + b, 1)
     dense, step = np.flatnonzero(df > DENSE_FROM), 4096
     for at in range(0, len(dense), step):
         some = dense[at : at + step]
         x = np.zeros((m, len(some)), np.float32)
         x[np.concatenate([rows[starts[c] : starts[c] + df[c]] for c in some]), np.repeat(np.arange(len(some)), df[some])] = 1
-        counts += np.triu(np.rint(x @ x.T), 1).astype(np.int32)
-    upper = np.triu(counts, 1) + np.tril(counts, -1).T
+        if left:
+            counts[:left, left:] += np.rint(x[:left] @ x[left:].T).astype(np.int32)
+        else:
+            counts += np.triu(np.rint(x @ x.T), 1).astype(np.int32)
+    upper = np.triu(counts, 1)
     return upper + upper.T
 
 
-def linked(sets: list[np.ndarray], law: Law) -> np.ndarray:
-    """Per set the index of the first set of its linked group."""
+def linked(sets: list[np.ndarray], law: Law, left: int = 0) -> np.ndarray:
+    """Per set the index of the first set of its linked group; with `left`, by links of the first so many with the others."""
     m = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
-    links = np.eye(m, dtype=bool)
-    counts = overlaps(sets)
-    for i in range(0, m, 256):
-        c = counts[i : i + 256].astype(np.int64)
-        links[i : i + 256] |= (c > 0) & ((law.den + law.num) * c >= law.num * (sizes[i : i + 256, None] + sizes))
+    counts = overlaps(sets, left).astype(np.int64)
+    links = (counts > 0) & ((law.den + law.num) * counts >= law.num * (sizes[:, None] + sizes))
+    np.fill_diagonal(links, True)
     label = np.arange(m)
     while True:
-        new = np.concatenate([np.where(links[i : i + 256], label, m).min(axis=1) for i in range(0, m, 256)])
+        new = np.where(links, label, m).min(axis=1)
         new = new[new]
         if (new == label).all():
             return label
@@ -162,13 +175,19 @@ def linked(sets: list[np.ndarray], law: Law) -> np.ndarray:
 
 
 def _products(law: Law):
-    """Rows come sorted by block: for each block, star edges of its linked groups."""
+    """Rows come sorted by block and side: for each block, star edges of its linked groups.
+
+    A block of a part with itself has one side; of others the sides are multiplied with each other.
+    """
 
     def run(batches: Batches) -> Batches:
-        at, nodes, sets = None, [], []
+        at, nodes, sets, left = None, [], [], 0
 
         def stars():
-            label = linked(sets, law) if len(sets) > 1 else np.zeros(len(sets), int)
+            within = at[1] == at[2]
+            if len(sets) < 2 or not within and left in (0, len(sets)):
+                return None
+            label = linked(sets, law, 0 if within else left)
             ids = np.array(nodes)
             out = label != np.arange(len(label))
             return pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[label[out]])], ["a", "b"])
@@ -177,49 +196,97 @@ def _products(law: Law):
             keys = list(zip(*(b.column(c).to_pylist() for c in ("family", "left", "right")), strict=True))
             cols = b.column("cols")
             flat, ends = cols.values.to_numpy().view(np.uint64), cols.offsets.to_numpy()
-            for i, (key, node) in enumerate(zip(keys, b.column("node").to_pylist(), strict=True)):
+            for i, (key, node, side) in enumerate(zip(keys, b.column("node").to_pylist(), b.column("side").to_pylist(), strict=True)):
                 if key != at:
-                    if len(sets) > 1:
-                        yield stars()
-                    at, nodes, sets = key, [], []
+                    if (found := stars() if sets else None) is not None:
+                        yield found
+                    at, nodes, sets, left = key, [], [], 0
                 nodes.append(node)
                 sets.append(flat[ends[i] : ends[i + 1]].copy())
-        if len(sets) > 1:
-            yield stars()
+                left += side == 0
+        if (found := stars() if sets else None) is not None:
+            yield found
 
     return run
 
 
-def _blocks(members: DataFrame, law: Law) -> DataFrame:
-    """(node, family, left, right): the block products each member takes part in.
+def _multiplied(sets: DataFrame, blocks: DataFrame, law: Law) -> DataFrame:
+    """(a, b): star edges of the linked groups of all blocks (node, family, left, right, side)."""
+    rows = sets.join(blocks, "node").repartition("family", "left", "right").sortWithinPartitions("family", "left", "right", "side")
+    return rows.select("family", "left", "right", "side", "node", "cols").mapInArrow(tidy(_products(law)), "a long, b long")
+
+
+def _parts(rows: str, entries: str) -> Column:
+    return F.ceil(F.greatest(F.col(rows) / F.lit(BLOCK_ROWS), F.col(entries) / F.lit(BLOCK_ENTRIES))).cast("long")
+
+
+def _part(size_class: Column, number: Column) -> Column:
+    """A part's name keeps the order of class and number, so that both sides of a block name it alike."""
+    return size_class * F.lit(1 << 40) + number
+
+
+def _placed(members: DataFrame, law: Law) -> DataFrame:
+    """(node, family, class, parts, me): members of families beyond the bounds, cut by size class and hash.
 
-    A family within the bounds is one block.  A larger one is cut by size class (classes as wide as the threshold, so
-    only neighbours can link) and, within a class, by hash into parts within the bounds.
+    Classes are as wide as the threshold, so only rows of the same or of neighbouring ones can link.
     """
     wide = math.log(law.den / law.num) * (1 + 1e-6)  # a little wider, so that rounding can't part a pair by two classes
     members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide)).cast("long"))
-    parts = lambda rows, entries: F.ceil(F.greatest(F.col(rows) / F.lit(BLOCK_ROWS), F.col(entries) / F.lit(BLOCK_ENTRIES)))
     per_class = members.groupBy("family", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
-    per_family = per_class.groupBy("family").agg(F.sum("rows").alias("f_rows"), F.sum("entries").alias("f_entries"))
-    per_class = per_class.withColumn("parts", parts("rows", "entries"))
-    near = per_class.select("family", F.col("class").alias("c"), F.col("parts").alias("p"))
-    around = (
-        per_class.select("family", "class", "parts")
-        .withColumn("c", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
-        .join(near, ["family", "c"])
-        .groupBy("family", "class", "parts")
-        .agg(F.collect_list(F.struct("c", "p")).alias("around"))  # three at most
-        .join(per_family, "family")
-        .withColumn("whole", parts("f_rows", "f_entries") <= 1)
-    )
+    per_class = per_class.select("family", "class", _parts("rows", "entries").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    # A part's name keeps the order of class and number, so that both sides name a pair alike.
-    name = lambda c, p: c * F.lit(1 << 40) + p
-    placed = members.join(around, ["family", "class"]).withColumn("me", name(F.col("class"), own))
-    pairs = F.flatten(F.transform("around", lambda a: F.transform(F.sequence(F.lit(0).cast("long"), a["p"].cast("long") - 1), lambda s: name(a["c"], s))))
-    many = placed.where("not whole").withColumn("other", F.explode(pairs)).select("node", "family", F.least("me", "other").alias("left"), F.greatest("me", "other").alias("right"))
-    one = placed.where("whole").select("node", "family", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"))
-    return one.union(many)
+    return members.join(per_class, ["family", "class"]).select("node", "family", "class", "parts", _part(F.col("class"), own).alias("me"))
+
+
+def _first_blocks(placed: DataFrame) -> DataFrame:
+    """Each part with itself and with the first part of its class, and the first parts of neighbouring classes."""
+    own = placed.select("node", "family", F.col("me").alias("left"), F.col("me").alias("right"), F.lit(0).alias("side"))
+    lead = _part(F.col("class"), F.lit(0).cast("long"))
+    later = placed.where(F.col("me") != lead).select("node", "family", lead.alias("left"), F.col("me").alias("right"), F.lit(1).alias("side"))
+    leads = placed.where((F.col("me") == lead) & (F.col("parts") > 1))
+    numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts") - 1))
+    first = leads.withColumn("number", numbers).select("node", "family", F.col("me").alias("left"), _part(F.col("class"), F.col("number")).alias("right"), F.lit(0).alias("side"))
+    beside = placed.where(F.col("me") == lead)
+    up = beside.select("node", "family", F.col("me").alias("left"), _part(F.col("class") + 1, F.lit(0).cast("long")).alias("right"), F.lit(0).alias("side"))
+    down = beside.select("node", "family", _part(F.col("class") - 1, F.lit(0).cast("long")).alias("left"), F.col("me").alias("right"), F.lit(1).alias("side"))
+    return own.union(later).union(first).union(up).union(down)
+
+
+def _open_blocks(placed: DataFrame, groups: DataFrame, columns: DataFrame) -> DataFrame:
+    """The other products: blocks of rows that share one of `columns` with a row of another part.
+
+    Rows of a family's largest group so far are settled among themselves, so they are only sent to parts in which
+    such a row is open.
+    """
+    labelled = placed.join(groups.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("rows"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("rows", "label"))["label"].alias("most"))
+    rows = checkpointed(labelled.join(largest, "family").select("node", "family", "class", "me", (F.col("label") != F.col("most")).alias("open")))
+    entries = columns.join(rows, "node").select("family", "h", "node", "class", "me", "open")
+    met = entries.groupBy("family", "h", F.col("class").alias("c"), F.col("me").alias("other")).agg(F.max("open").alias("any_open"))
+    # A column met in one part only, or by settled rows only, makes no block.
+    several = met.groupBy("family", "h").agg(F.count("*").alias("parts"), F.max("any_open").alias("some")).where("parts > 1 and some").select("family", "h")
+    met = met.join(several, ["family", "h"])
+    pairs = entries.join(met, ["family", "h"]).where((F.abs(F.col("class") - F.col("c")) <= 1) & (F.col("me") != F.col("other")) & (F.col("open") | F.col("any_open")))
+    lead = lambda c: _part(F.col(c), F.lit(0).cast("long"))
+    mine, others = F.col("me") == lead("class"), F.col("other") == lead("c")
+    done = F.when(F.col("class") == F.col("c"), mine | others).otherwise(mine & others)  # what _first_blocks() has
+    return pairs.where(~done).select("node", "family", F.least("me", "other").alias("left"), F.greatest("me", "other").alias("right"), (F.col("me") > F.col("other")).cast("int").alias("side")).distinct()
+
+
+def _groups(members: DataFrame, columns: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
+    """(node, label) of the linked members; `members` has node, n and family, `columns` node and h, `sets` node and cols."""
+    per_family = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
+    large = checkpointed(per_family.where(_parts("rows", "entries") > 1).select("family"))
+    if not large.head(1):
+        one = members.select("node", "family", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).alias("side"))
+        return components(_multiplied(sets, one, law))
+    large = gated(large)
+    one = members.join(large, "family", "left_anti").select("node", "family", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).alias("side"))
+    placed = checkpointed(_placed(members.join(large, "family", "left_semi"), law))
+    edges = checkpointed(_multiplied(sets, one.union(_first_blocks(placed)), law))
+    more = checkpointed(_open_blocks(placed, components(edges), columns))
+    return components(edges.union(_multiplied(sets, more, law)) if more.head(1) else edges)
 
 
 def jaccard_components(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,38 +338,62 @@ def _labelled(df: DataFrame, law: Law, id_col: str, text_col: str, marked: bool
     wanted = gated(members.select(F.col("head").alias("_head")).distinct())
     whole = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_head")), "left_semi").mapInArrow(tidy(_sets(law, whole=True)), SETS)
     sets = whole.where("digest is not null").join(members.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "cols")
-    blocks = sets.join(_blocks(members.select("node", "n", "family"), law), "node").repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
-    groups = components(blocks.select("family", "left", "right", "node", "cols").mapInArrow(tidy(_products(law)), "a long, b long"))
+    groups = _groups(members.select("node", "n", "family"), columns, sets, law)
 
-    # Components of sets, named by the smallest identifier of all rows that have one of the sets.
-    classes = small.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"))
+    # Components of sets, named by the smallest identifier of all rows that have one of the sets.  A set of one row
+    # without links has a component of its own and need not be named.
+    classes = small.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     labels = heads.select("digest", "node").join(groups, "node").select("digest", "label")
-    named = classes.join(labels, "digest", "left")
+    named = classes.join(labels, "digest", "left").where("rows > 1 or label is not null")
     lows = named.where("label is not null").groupBy("label").agg(F.min("low").alias("label_low"))
-    named = named.join(lows, "label", "left").select("digest", F.coalesce("label_low", "low").alias("component"), F.coalesce("label", F.xxhash64("digest")).alias("group"))
-    return docs.select("doc_id", "n", "digest", *extra).join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *extra, "group"
-    )
+    named = named.join(lows, "label", "left").select("digest", "rows", F.coalesce("label_low", "low").alias("component"), F.coalesce("label", F.xxhash64("digest")).alias("label"))
+    found = _by_digest(docs.select("row", "doc_id", "n", "digest", *extra), checkpointed(named))
+    empty = F.col("digest").isNull()
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(empty | F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *extra,
+        F.when(~empty, F.coalesce("label", F.xxhash64("digest"))).alias("group"),
+    )
+
+
+def _by_digest(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """`docs` with `component` and `label` of their digests, where `named` (digest, rows, component, label) has these.
+
+    A table of few digests is broadcast.  Beyond that digests of many rows are, and rows that have one of these or none
+    are spread by their numbers, so that no key of the shuffle has more than HOT_ROWS rows.
+    """
+    if named.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(named.drop("rows")), "digest", "left")
+    name = lambda prefix: [F.col(c).alias(prefix + c) for c in ("digest", "component", "label")]
+    hot = gated(checkpointed(named.where(F.col("rows") > HOT_ROWS).select(*name("hot_"))))
+    first = docs.join(hot, F.col("digest") == F.col("hot_digest"), "left")
+    apart = F.col("hot_digest").isNotNull() | F.col("digest").isNull()
+    first = first.withColumn("key", F.when(apart, F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary")).otherwise(F.col("digest")))
+    rest = named.where(F.col("rows") <= HOT_ROWS).select(*name("cold_"))
+    both = first.join(rest, F.col("key") == F.col("cold_digest"), "left")
+    return both.withColumns({c: F.coalesce("hot_" + c, "cold_" + c) for c in ("component", "label")})
 
 
 def drop_near_copies(docs: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component, the one of its smallest identifier; all columns kept.
 
-    Rows without an identifier stay, as nothing can name them; so do texts without words.  Rows are told apart by
-    identifier and text: of a component's rows that share its smallest identifier, one stays.
+    Rows without an identifier stay, as nothing can name them; so do null and empty texts and others without words.
+    Rows are told apart by identifier and text: of a component's rows that share its smallest identifier, one stays
+    (the one whose text has the smallest digest, and of rows equal in both any one).  A text of any length is one set.
+    An empty table gives no rows, and other columns stay whatever their names.
     """
     found = checkpointed(_labelled(docs, law, id_col, text_col, marked=True))
     gone = found.where("doc_id <> component_id").select("doc_id", "mark")
     firsts = found.where("doc_id = component_id and group is not null").groupBy("group", "doc_id").agg(F.count("*").alias("rows"), F.min("mark").alias("first"))
-    firsts = checkpointed(firsts.where("rows > 1").select(F.col("group").alias("_group"), "first"))
-    among = found.where("doc_id = component_id").join(gated(firsts), F.col("group") == F.col("_group"))
+    firsts = checkpointed(firsts.where("rows > 1").select(F.col("group").alias("first_group"), "first"))
+    among = found.where("doc_id = component_id").join(gated(firsts), F.col("group") == F.col("first_group"))
     more = among.where("mark <> first").select("doc_id", "mark")
-    named = lambda df: df.select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text")).distinct()
-    same = lambda df: (df[id_col].cast("long") == F.col("_gone")) & (df["_mark"] == F.col("_text"))
-    marked = docs.withColumn("_mark", _mark(text_col))
+    mark, gone_id, gone_mark = fresh(docs.columns, "mark", "gone_id", "gone_mark")
+    named = lambda df: df.select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
+    same = lambda df: (df[id_col].cast("long") == F.col(gone_id)) & (df[mark] == F.col(gone_mark))
+    marked = docs.withColumn(mark, _mark(text_col))
     left = marked.join(gated(checkpointed(named(gone.union(more)))), same(marked), "left_anti")
     alike = checkpointed(named(among.where("mark = first").groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).where("rows > 1")))
     if alike.head(1):  # rows that repeat both identifier and text
         alike = gated(alike)
-        left = left.join(alike, same(left), "left_anti").union(left.join(alike, same(left), "left_semi").dropDuplicates([id_col, "_mark"]))
-    return left.drop("_mark")
+        left = left.join(alike, same(left), "left_anti").union(left.join(alike, same(left), "left_semi").dropDuplicates([id_col, mark]))
+    return left.drop(mark)

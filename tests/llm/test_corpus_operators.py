@@ -82,6 +82,43 @@ def test_jaccard_components_in_many_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+def test_jaccard_of_a_long_chain_and_a_large_group(spark, monkeypatch):
+    """Families of many parts: texts that overlap their neighbours too little to link, and a group of alike texts."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
+    random.seed(12)
+    stream = [f"s{random.randrange(10**6)}" for _ in range(1200)]
+    rows = [(i, " ".join(stream[i * 9 : i * 9 + random.choice([40, 44, 60])]), "a") for i in range(110)]
+    rows += [(200 + i, " ".join(stream[i * 30 + 1 : i * 30 + 41]), "a") for i in range(30)]
+    base = [f"g{i}" for i in range(90)]
+    for i in range(60):
+        words = list(base)
+        for _ in range(random.choice([0, 1, 1, 2, 9])):
+            words[random.randrange(90)] = f"o{random.randrange(10**6)}"
+        rows.append((300 + i, " ".join(words + stream[:3]), "a"))
+    rows += [(400 + i, rows[-1][1], "a") for i in range(8)] + [(500, None, "a"), (501, "", "a"), (None, rows[0][1], "a")]
+    for law in (ngram_join.Law(4, 85, 100), ngram_join.Law()):
+        got = Counter(tuple(r) for r in ngram_join.jaccard_components(table(spark, rows), law).collect())
+        assert got == brute_components(rows, law.words, law.num, law.den)
+
+
+def test_products_of_two_sides():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) if (i < 15) != (j < 15) else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert ngram_join.overlaps(sets, 15).tolist() == want
+
+
+def test_near_copies_keep_clashing_columns(spark):
+    schema = "doc_id long, text string, _mark string, mark string, MARK_ string, gone_id string, _gone string, first string, rows string, label string"
+    rows = [(i, "one two three four five six" if i < 3 else f"text {i}", *"abcdefgh") for i in range(6)]
+    df = spark.createDataFrame(rows, schema)
+    kept = ngram_join.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], *rows[3:]]
+    assert ngram_join.drop_near_copies(df.where("false")).count() == 0
+
+
 def test_jaccard_of_nothing_and_of_one_hot_group(spark):
     assert ngram_join.jaccard_components(table(spark, [])).count() == 0
     same = [(i, "one two three four five six seven", "s") for i in range(50, 0, -1)]
