@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, Batches, checkpointed, gated, long_column, text_or_empty, tidy
+from .common import SPACE, Batches, checkpointed, fresh, gated, long_column, text_or_empty, tidy
 
 NO_ID = -(2**63)
 PREFIX_CHARS = 24
@@ -133,12 +133,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that exact_dedup drops, all columns kept."""
-    found = checkpointed(exact_dedup(docs, id_col, text_col))
-    lost = found.where("not kept")
-    gone = checkpointed(lost.where("not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")))
-    mark = docs.withColumn("_mark", F.sha2(normalise(text_col), 256))
-    left = mark.join(gated(gone), mark[id_col].cast("long").eqNullSafe(F.col("_gone")) & (mark["_mark"] == F.col("_sha")), "left_anti")
-    if lost.where("doc_id <=> keep_id").head(1):  # rows that repeat both identifier and text
-        left = left.dropDuplicates([id_col, "_mark"])
-    return left.drop("_mark")
+    """`docs` without the rows that exact_dedup drops, all columns kept whatever their names.
+
+    Null and empty texts are equal; of a group without identifiers one row stays, and so does one of rows that repeat
+    both identifier and text.  Texts of any length are compared whole.  An empty table gives no rows.
+    """
+    mark, gone_id, gone_mark = fresh(docs.columns, "mark", "gone_id", "gone_mark")
+    lost = checkpointed(exact_dedup(docs, id_col, text_col)).where("not kept")
+    named = lambda df: checkpointed(df.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_mark)).distinct())
+    same = lambda df: df[id_col].cast("long").eqNullSafe(F.col(gone_id)) & (df[mark] == F.col(gone_mark))
+    marked = docs.withColumn(mark, F.sha2(normalise(text_col), 256))
+    left = marked.join(gated(named(lost.where("not (doc_id <=> keep_id)"))), same(marked), "left_anti")
+    alike = named(lost.where("doc_id <=> keep_id"))
+    if alike.head(1):  # rows that repeat both identifier and text
+        alike = gated(alike)
+        left = left.join(alike, same(left), "left_anti").union(left.join(alike, same(left), "left_semi").dropDuplicates([id_col, mark]))
+    return left.drop(mark)

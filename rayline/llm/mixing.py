@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, WORD, checkpointed, gated, text_or_empty
+from .common import SPACE, WORD, checkpointed, fresh, gated, text_or_empty
 
 #: Blocks of one source at most and at least, and of all sources together; each time that blocks are split.
 BLOCKS, FEW_BLOCKS, MOST_BLOCKS = 512, 16, 65_536
@@ -37,7 +37,8 @@ def targets(sources: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     """Add `target` to (source, source_size): shares of the sum by weight, none above cap times its size.
 
     Weights repeat over sources in code-point order, null last.  With sources in order of cap / weight, the ones
-    that stop at their cap come first; what these leave is shared by weight among the rest.
+    that stop at their cap come first; what these leave is shared by weight among the rest.  One task sorts the sources,
+    a name and a number each: this step grows with their number only.
     """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(ordered) - 1, F.lit(len(weights))) + 1
@@ -82,11 +83,12 @@ class Blocks:
         block = _block(df[id_col], self.counts[0], self.seed)
         if self.splits is None:
             return df.withColumn(name, block)
-        paths = gated(self.splits.select(F.col("source").alias("_split_source"), F.col("path").alias("_path")))
+        source, path = fresh(df.columns, "split_source", "path")
+        paths = gated(self.splits.select(F.col("source").alias(source), F.col("path").alias(path)))
         # By source and first block, so that a shuffle spreads a large source.
-        joined = df.join(paths, df[source_col].eqNullSafe(F.col("_split_source")) & (block == F.get("_path", F.lit(0))), "left")
+        joined = df.join(paths, df[source_col].eqNullSafe(F.col(source)) & (block == F.get(path, F.lit(0))), "left")
         for step, count in enumerate(self.counts[1:], 1):
-            block = F.when(F.get("_path", F.lit(step - 1)) == block, _block(df[id_col], count, self.seed, step)).otherwise(block)
+            block = F.when(F.get(path, F.lit(step - 1)) == block, _block(df[id_col], count, self.seed, step)).otherwise(block)
         return joined.select(*[df[c] for c in df.columns], block.alias(name))
 
 
@@ -207,13 +209,23 @@ def mix(df: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, shards:
     return joined.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, shards: int = 8, seed: int = 7) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, shuffled by shard and, within it, by a hash."""
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, shards: int = 8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_col: str | None = None
+) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken, in the shards the tree dealt it to.
+
+    Each output partition holds rows of one shard, in order of a hash; a shard has as many partitions as its share of
+    spark.sql.shuffle.partitions, and partitions count on from shard to shard.  All columns stay whatever their names;
+    `shard_col` adds the shard.  Null sources, identifiers and texts are as in mix(); a text of any length is one row,
+    and an empty table gives no rows.
+    """
     columns = docs.columns
-    _, table, blocks = plan(docs, weights, cap, shards, seed)
-    table = gated(table.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("shards").alias("_shards")))
-    placed = blocks.of(docs, "doc_id", "source", "_block")
-    copies = placed.join(table, placed["source"].eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    copies = copies.select(*columns, F.posexplode("_shards").alias("_copy", "_shard"))
-    order = F.xxhash64(F.lit(seed), "_shard", "doc_id", "_copy")
-    return copies.withColumn("_order", order).repartition("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*columns)
+    _, table, blocks = plan(docs, weights, cap, shards, seed, id_col, text_col, source_col)
+    s, b, dealt, block, copy, shard, order = fresh([*columns, shard_col or ""], "s", "b", "dealt", "block", "copy", "shard", "order")
+    table = gated(table.select(F.col("source").alias(s), F.col("block").alias(b), F.col("shards").alias(dealt)))
+    placed = blocks.of(docs, id_col, source_col, block)
+    copies = placed.join(table, placed[source_col].eqNullSafe(F.col(s)) & (F.col(block) == F.col(b)))
+    copies = copies.select(*columns, F.posexplode(dealt).alias(copy, shard)).withColumn(order, F.xxhash64(F.lit(seed), shard, id_col, text_col, copy))
+    each = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    spread = copies.repartitionById(shards * each, (F.col(shard) * each + F.pmod(F.col(order), F.lit(each))).cast("int")).sortWithinPartitions(order)
+    return spread.select(*columns, *([F.col(shard).alias(shard_col)] if shard_col else []))

@@ -249,6 +249,46 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0 and mixing.mixed_documents(table(spark, [])).count() == 0
 
 
+def test_mixed_documents_stay_in_their_shards(spark):
+    """Each partition of the output is of one shard, in order; clashing names stay as they are."""
+    names = ["_s", "_b", "_shards", "_block", "_order", "order", "shard", "path", "dealt", "copy"]
+    rows = [(i, "w " * (1 + i % 30), f"s{i % 3}", *names) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mix(df).collect()
+    mixed = mixing.mixed_documents(df, shard_col="dealt_to")
+    assert mixed.columns == [*df.columns, "dealt_to"]
+    found = mixed.withColumn("part", F.spark_partition_id()).collect()
+    assert Counter((r["doc_id"], r["dealt_to"]) for r in found) == Counter((r["doc_id"], x) for r in got for x in r["shards"])
+    assert all(tuple(r[n] for n in names) == tuple(names) for r in found)
+    shard_of = defaultdict(set)
+    for r in found:
+        shard_of[r["part"]].add(r["dealt_to"])
+    assert all(len(x) == 1 for x in shard_of.values())
+    order = [min(shard_of[p]) for p in sorted(shard_of)]
+    assert order == sorted(order) and set(order) == set(range(8))
+    assert mixing.mixed_documents(df).columns == df.columns
+
+
+def test_mixing_of_many_sources(spark):
+    """More sources than blocks of a round: tables outgrow their usual size, and targets are still met."""
+    n = 70_000
+    df = spark.range(n + 30_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < n, F.concat(F.lit("s"), F.col("id").cast("string"))).otherwise("hot").alias("source"))
+    got = mixing.mix(df).groupBy((F.col("doc_id") < n).alias("small")).agg(F.sum("taken").alias("taken"), F.sum("target").alias("target"), F.first("target").alias("each"), F.max(F.abs(F.col("taken") - F.col("target"))).alias("off")).collect()
+    by = {r["small"]: r for r in got}
+    assert by[True]["off"] <= 3 and abs(by[True]["taken"] - by[True]["target"]) < 0.5 * by[True]["target"]
+    assert abs(by[False]["taken"] - by[False]["each"]) <= 3
+
+
+def test_exact_copies_keep_clashing_columns(spark):
+    schema = "doc_id long, text string, _mark string, mark string, gone_id string, _gone string, _sha string, norm string, hash string, head string"
+    rows = [(i, "a  b" if i < 3 else f"t{i}", *"abcdefgh") for i in range(6)] + [(7, "t7", *"abcdefgh")] * 2 + [(None, None, *"abcdefgh"), (None, "", *"abcdefgh")]
+    df = spark.createDataFrame(rows, schema)
+    kept = exact_dedup.drop_exact_copies(df).collect()
+    assert exact_dedup.drop_exact_copies(df).columns == df.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or ""), r["_mark"]) for r in kept) == [(0, "", "a"), (0, "a  b", "a"), (3, "t3", "a"), (4, "t4", "a"), (5, "t5", "a"), (7, "t7", "a")]
+    assert exact_dedup.drop_exact_copies(df.where("false")).count() == 0
+
+
 def test_mixing_odd_identifiers(spark):
     """Rows without an identifier share a block; repeated rows are taken alike; texts without words take nothing."""
     rows = [(None, "a b", "s"), (None, "c d e", "s"), (1, "x " * 5000, "t"), (1, "x " * 5000, "t"), (2, None, None), (3, "", None)]
