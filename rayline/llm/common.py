@@ -45,6 +45,12 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Have a folder in the shared store deleted when the driver ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def write_whole(path: str, pieces: Iterable[bytes]) -> None:
     """A file that appears under its name only when it is whole; writing it again changes nothing."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
