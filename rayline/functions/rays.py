@@ -1,21 +1,23 @@
 """Rays through a raster.
 
 scan_mask() is a pure expression over a predicate of pixel coordinates: no rows are made and nothing is shuffled.
-ray_hits() scans the bytes of decoded images in Arrow batches, stepping as the incremental definition does.
+first_hits() scans the pixels of a decoded image, stepping as the incremental definition does.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .geo import pixel_metres, screen_radians
+from .text import let
 
 SKIP, STEP, METRES_PER_PIXEL = 50, 1.0, 0.265
+#: Samples of a ray, and rays, that are looked at together.
+SAMPLES, RAYS_AT_ONCE = 64, 4096
 
 
 def is_road(r: Column, g: Column, b: Column) -> Column:
@@ -39,58 +41,66 @@ def scan_mask(angle: Column, road: Callable[[Column, Column], Column], width: in
     """
     if step <= 0:
         raise ValueError("step must be positive")
-    a = screen_radians(angle)
-    dx, dy = F.cos(a), F.sin(a)
-    at = lambda k: (F.lit(width / 2.0) + (skip + k * step) * dx, F.lit(height / 2.0) + (skip + k * step) * dy)
     cell = lambda v: F.floor(v + 1e-9).cast("int")
+    last = most_steps(width, height, skip, step)
 
-    def hit(k: Column) -> Column:
-        x, y = at(k)
-        return inside(x, y, width, height) & road(cell(x), cell(y))
+    def along(d: Column) -> Column:
+        dx, dy = d["dx"], d["dy"]
 
-    k = F.get(F.filter(F.sequence(F.lit(0), F.lit(most_steps(width, height, skip, step))), hit), F.lit(0))
-    reach = F.lit(float(skip)) + k * F.lit(float(step))
-    return pixel_metres(reach * dx, reach * dy, metres_per_pixel)
+        def hit(k: Column) -> Column:
+            x, y = F.lit(width / 2.0) + (skip + k * step) * dx, F.lit(height / 2.0) + (skip + k * step) * dy
+            return inside(x, y, width, height) & road(cell(x), cell(y))
 
+        # Samples are looked at in stretches that grow; those after the first hit are left alone.
+        first = F.coalesce(*[F.get(F.filter(F.sequence(F.lit(lo), F.lit(hi)), hit), F.lit(0)) for lo, hi in stretches(last)])
+        reach = F.lit(float(skip)) + first * F.lit(float(step))
+        return pixel_metres(reach * dx, reach * dy, metres_per_pixel)
 
-def ray_hit(pixels: np.ndarray, angle: float, skip: int = SKIP, step: float = STEP, metres_per_pixel: float = METRES_PER_PIXEL) -> float | None:
-    """The same for one decoded image (height, width, channels in BGR order), adding step after step."""
+    a = screen_radians(angle)
+    return let(F.struct(F.cos(a).alias("dx"), F.sin(a).alias("dy")), along)
+
+
+def stretches(last: int) -> list[tuple[int, int]]:
+    """0 to last, cut where 8, 24, 56 and so on samples are done."""
+    out, lo, size = [], 0, 8
+    while lo <= last:
+        out.append((lo, min(last, lo + size - 1)))
+        lo, size = lo + size, 2 * size
+    return out
+
+
+def first_hits(pixels: np.ndarray, angles: np.ndarray, skip: int = SKIP, step: float = STEP, metres_per_pixel: float = METRES_PER_PIXEL) -> np.ndarray:
+    """The same for many rays over one decoded image (height, width, channels in BGR order), adding step after step.
+
+    Metres by ray; NaN where there is no road, and for an angle that is no number.
+    """
     if step <= 0:
         raise ValueError("step must be positive")
     height, width, channels = pixels.shape
+    out = np.full(len(angles), np.nan)
     if channels < 3:
-        return None  # grey is never road
-    a = math.radians((angle + 270.0) % 360.0)
-    cx, cy, dx, dy = width / 2.0, height / 2.0, math.cos(a), math.sin(a)
-    n = most_steps(width, height, skip, step) + 2
-    x = np.cumsum(np.concatenate([[cx + skip * dx], np.full(n, step * dx)]))
-    y = np.cumsum(np.concatenate([[cy + skip * dy], np.full(n, step * dy)]))
-    within = (x >= 0) & (x < width) & (y >= 0) & (y < height)
-    count = len(within) if within.all() else int(np.argmin(within))
-    some = pixels[y[:count].astype(int), x[:count].astype(int)]
-    road = (some[:, 1] > 200) & (some[:, 2] < 50) & (some[:, 0] < 50)
-    if not road.any():
-        return None
-    i = int(np.argmax(road))
-    return math.hypot(x[i] - cx, y[i] - cy) * metres_per_pixel
-
-
-def ray_hits(skip: int = SKIP, step: float = STEP, metres_per_pixel: float = METRES_PER_PIXEL):
-    """A vectorised function (data, width, height, channels, left, right) -> struct(left, right), in metres.
-
-    Both rays travel in one row with their image, so an image is decoded and sent once.
-    """
+        return out  # grey is never road
+    a = np.radians((np.asarray(angles, float) + 270.0) % 360.0)
+    cx, cy, dx, dy = width / 2.0, height / 2.0, np.cos(a), np.sin(a)
+    x, y = cx + skip * dx, cy + skip * dy
+    rays = np.flatnonzero((x >= 0) & (x < width) & (y >= 0) & (y < height))
+    while len(rays):
+        for some in np.array_split(rays, -(-len(rays) // RAYS_AT_ONCE)):
+            xs, ys = (np.cumsum(np.concatenate([v[some, None], np.repeat(step * d[some, None], SAMPLES, axis=1)], axis=1), axis=1) for v, d in ((x, dx), (y, dy)))
+            x[some], y[some] = xs[:, -1], ys[:, -1]  # where the next samples begin
+            xs, ys = xs[:, :-1], ys[:, :-1]
+            within = (xs >= 0) & (xs < width) & (ys >= 0) & (ys < height)
+            found = pixels[np.where(within, ys, 0).astype(np.intp), np.where(within, xs, 0).astype(np.intp)]
+            road = within & (found[:, :, 1] > 200) & (found[:, :, 2] < 50) & (found[:, :, 0] < 50)
+            at = road.argmax(axis=1)
+            hit = road[np.arange(len(some)), at]
+            px, py = xs[hit, at[hit]], ys[hit, at[hit]]
+            out[some[hit]] = np.hypot(px - cx, py - cy) * metres_per_pixel
+        rays = rays[np.isnan(out[rays]) & (x[rays] >= 0) & (x[rays] < width) & (y[rays] >= 0) & (y[rays] < height)]
+    return out
+
 
-    @F.pandas_udf("left double, right double")
-    def scan(data: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for columns in data:
-            out = []
-            for raw, w, h, c, left, right in zip(*columns, strict=True):
-                if raw is None or w <= 0:
-                    out.append((None, None))
-                    continue
-                pixels = np.frombuffer(raw, np.uint8).reshape(int(h), int(w), int(c))
-                out.append(tuple(ray_hit(pixels, a, skip, step, metres_per_pixel) for a in (left, right)))
-            yield pd.DataFrame(out, columns=["left", "right"], dtype="float64")
-
-    return scan
+def ray_hit(pixels: np.ndarray, angle: float, skip: int = SKIP, step: float = STEP, metres_per_pixel: float = METRES_PER_PIXEL) -> float | None:
+    """One ray over one image, or None."""
+    found = first_hits(pixels, np.array([angle]), skip, step, metres_per_pixel)[0]
+    return None if np.isnan(found) else float(found)

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import Settings
 from ..functions import geo, rays
 from ..functions.text import coordinate_text
-from .lookup import resolve_names
+from .lookup import point_names
+from .scan import scan_rays
 
 
 def with_angles(pairs: DataFrame, offset: float = 25.0) -> DataFrame:
@@ -52,38 +53,30 @@ def with_targets(hits: DataFrame) -> DataFrame:
 
 
 def scan_tiles(pairs: DataFrame, tiles: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Join each pair's raster by its centre and scan both rays; `error` tells of a raster that is missing or broken.
-
-    Only the ray distances leave the scan: image bytes are dropped in the same projection.
-    """
-    image = F.col("image")
-    scan = rays.ray_hits(settings.skip_pixels, settings.step_size, settings.metres_per_pixel)
-    keyed = with_angles(pairs, settings.angle_offset).withColumn("point_key", coordinate_text(F.col("current.lat"), F.col("current.lon")))
-    joined = keyed.join(tiles.select("point_key", "image"), "point_key", "left")
-    broken = image.isNull() | (image["width"] <= 0)
-    return joined.withColumns(
-        {
-            "error": F.when(image.isNull(), "no raster for this position").when(image["width"] <= 0, "raster could not be decoded"),
-            "hits": F.when(~broken, scan(image["data"], image["width"], image["height"], image["nChannels"], F.col("angles.left"), F.col("angles.right"))),
-        }
-    ).drop("image", "point_key")
+    """Scan both rays of each pair over the raster of its current position: adds `angles`, `error` and `hits`."""
+    keyed = with_angles(pairs, settings.angle_offset)
+    return scan_rays(keyed, tiles, coordinate_text(F.col("current.lat"), F.col("current.lon")), F.col("angles.left"), F.col("angles.right"), settings)
 
 
 def detect(pairs: DataFrame, tiles: DataFrame, snaps: DataFrame, places: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The whole detection: adds target, chosen, road_name, alternative_road_name and error to each pair.
 
-    `pairs` has structs `previous` and `current`.  Lookup tables are keyed by point text and place id; each distinct
-    point is looked up once.  A lookup without an answer is an unknown road, a missing raster an error.
+    `pairs` has structs `previous` and `current`.  Lookup tables are keyed by point text and place id.  A lookup without
+    an answer is an unknown road, a missing raster an error.  The plan scans once and is a line from there: what the
+    scan found is joined to the names of its points, first the target's, then the alternative's.
     """
     scanned = with_targets(scan_tiles(pairs, tiles, settings))
     key = lambda c: coordinate_text(F.col(f"{c}.lat"), F.col(f"{c}.lon"))
-    keyed = scanned.withColumns({"_main": F.when(F.col("found"), key("target")), "_other": F.when(F.col("alt_point").isNotNull(), key("alt_point"))})
-    wanted = keyed.select(F.col("_main").alias("point_key")).union(keyed.select("_other")).where("point_key is not null")
-    names = resolve_names(wanted, snaps, places)
+    # Rows without a point to look up match nothing; a key of their own each keeps them from meeting in one task.
+    none = F.concat(F.lit("none "), F.col("_turn").cast("string"))
+    keyed = scanned.withColumn("_turn", F.monotonically_increasing_id()).withColumns(
+        {"_main": F.when(F.col("found"), key("target")).otherwise(none), "_other": F.when(F.col("alt_point").isNotNull(), key("alt_point")).otherwise(none)}
+    )
+    names = point_names(snaps, places)
     main = names.select(F.col("point_key").alias("_main"), F.col("road_name"), F.col("lookup_error").alias("_e1"))
     other = names.select(F.col("point_key").alias("_other"), F.col("road_name").alias("alternative_road_name"), F.col("lookup_error").alias("_e2"))
     out = keyed.join(main, "_main", "left").join(other, "_other", "left")
-    return out.withColumn("error", F.coalesce("error", "_e1", "_e2")).drop("_main", "_other", "_e1", "_e2")
+    return out.withColumn("error", F.coalesce("error", "_e1", "_e2")).drop("_main", "_other", "_e1", "_e2", "_turn")
 
 
 def result_text(d: DataFrame) -> Column:

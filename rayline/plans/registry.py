@@ -9,10 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..config import Settings
 from ..functions import geo, names, payloads, rays, text
 from ..operators import detect as d
 from ..operators.evaluate import evaluated, outcome_label, summary, summary_by
 from ..operators.lookup import resolve_names, still_missing
+from ..operators.scan import scan_rays
 from ..sinks.overlay import caption_lines, draw
 from ..sinks.results import case_line, csv_line
 from ..sources.cases import parsed_line
@@ -75,8 +77,6 @@ def detect_primary_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_angle_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the pair of rays: four offsets of each pair."""
-    from ..config import Settings
-
     rows = d.sweep(t.pairs(spark, sf_dir), t.road, t.WIDTH, t.HEIGHT, [-50, -25, 25, 50], Settings(skip_pixels=t.SKIP))
     return rows.select("event_id", "offset", F.round("metres", 6).alias("metres"))
 
@@ -236,12 +236,12 @@ def _mask_pixels() -> np.ndarray:
 
 
 def raster_arrow_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both rays over image bytes in Arrow batches; the image is the procedural mask of raster_ray_first_hit."""
-    image = F.lit(bytearray(_mask_pixels().tobytes()))
+    """Both rays of every event over the bytes of one image, the procedural mask of raster_ray_first_hit."""
+    image = t.image(_mask_pixels())
+    tiles = spark.range(1).select(F.lit("mask").alias("point_key"), image.alias("image"))
     angle = (F.col("event_id") * 37 % 360).cast("double") + F.lit(0.3)
-    scan = rays.ray_hits(skip=t.SKIP)(image, F.lit(t.WIDTH), F.lit(t.HEIGHT), F.lit(3), angle, geo.normalize(angle + 50.0))
-    rows = t.load(spark, sf_dir, "events").select("event_id", scan.alias("h"))
-    return rows.select("event_id", F.round("h.left", 6).alias("left_metres"), F.round("h.right", 6).alias("right_metres"))
+    rows = scan_rays(t.load(spark, sf_dir, "events").select("event_id"), tiles, F.lit("mask"), angle, geo.normalize(angle + 50.0), Settings(skip_pixels=t.SKIP))
+    return rows.select("event_id", F.round("hits.left", 6).alias("left_metres"), F.round("hits.right", 6).alias("right_metres"))
 
 
 def overlay_png(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.pairing import paired_fixes
 
@@ -28,6 +29,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("event_id", "user_id", "value", point("prev_lat", "prev_lon").alias("previous"), point("lat", "lon").alias("current"))
 
 
+def image(pixels: np.ndarray) -> Column:
+    """An image literal from an array in BGR order."""
+    height, width, channels = pixels.shape
+    fields = {"origin": F.lit(""), "height": F.lit(height), "width": F.lit(width), "nChannels": F.lit(channels), "mode": F.lit(16), "data": F.lit(bytearray(pixels.tobytes()))}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
 def road(x, y):
     """A procedural mask that some rays miss; works on Columns and on arrays."""
     return (x * 7919 + y * 104729) % 61 == 0

@@ -11,9 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
-from rayline import cli, config
+from rayline import cli, config, schema
 from rayline.functions.text import coordinate_text
-from rayline.operators import detect as d
+from rayline.operators import detect as d, scan
 from rayline.operators.evaluate import WRONG, evaluated, outcome_label, summary, summary_by
 from rayline.operators.lookup import resolve_names, still_missing
 from rayline.sinks import overlay, results as sink
@@ -139,6 +139,32 @@ def test_detection_end_to_end(spark, world):
     assert text.splitlines()[0] == "DetectionResult {" and "road             = Kosmas" in text and len(text.splitlines()) == 8
 
 
+def test_one_scan(spark, world):
+    """Rasters are scanned once, however many columns follow from the hits."""
+    found = evaluated(d.detect(cases.read_cases(spark, str(world / "cases.csv")), *cli.tables(spark, str(world))))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_scan_by_tile(spark, monkeypatch):
+    """Any channels; a point of many rays is cut; rasters that are missing, broken or repeated."""
+    monkeypatch.setattr(scan, "ROWS_A_COPY", 10)
+    pixels = np.zeros((200, 200, 3), np.uint8)
+    pixels[:, 150:] = (0, 255, 0)
+    rgba = np.concatenate([pixels, np.full((200, 200, 1), 255, np.uint8)], axis=2)
+    raw = lambda p: ("", p.shape[0], p.shape[1], p.shape[2], 16, bytearray(p.tobytes()))
+    tiles = spark.createDataFrame([("a", raw(pixels)), ("b", raw(rgba)), ("b", raw(rgba)), ("c", ("", -1, -1, -1, -1, bytearray())), ("d", None), (None, raw(pixels))], schema.TILES)
+    rows = [(i, "a", 90.0, 0.0) for i in range(95)] + [(100 + i, p, 90.0, 0.0) for i, p in enumerate("bcdxy")] + [(200, None, 90.0, 0.0), (201, "a", None, 90.0)]
+    df = spark.createDataFrame(rows, "id long, point_key string, left double, copy double").withColumn("row", F.lit("kept")).withColumn("error", F.lit("old"))
+    out = scan.scan_rays(df, tiles, F.col("point_key"), F.col("left"), F.col("copy"))
+    assert set(out.columns) == {*df.columns, "hits"}
+    got = {r["id"]: (r["hits"] and tuple(r["hits"]), r["error"], r["row"]) for r in out.collect()}
+    hit = pytest.approx(13.25)
+    assert len(got) == len(rows) and all(got[i] == ((hit, None), None, "kept") for i in [*range(95), 100])
+    assert got[201] == ((None, hit), None, "kept") and got[101] == (None, scan.BROKEN, "kept")
+    assert all(got[i] == (None, scan.MISSING, "kept") for i in (102, 103, 104, 200))
+
+
 def test_sinks_and_command_line(spark, world, tmp_path, capsys):
     out = tmp_path / "deep" / "results.csv"
     assert cli.main(["evaluate", str(world / "cases.csv"), str(out), "--tables", str(world), "--images", str(tmp_path / "debug")], spark) == 0

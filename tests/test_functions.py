@@ -108,13 +108,30 @@ def test_road_pixels(spark):
         assert one(spark, rays.is_road(F.lit(r), F.lit(g), F.lit(b))) is want
 
 
-def test_scan_of_four_channels(spark):
-    bgr = image(lambda x, y: x >= 150, 200, 200)
-    rgba = np.concatenate([bgr, np.full((200, 200, 1), 255, np.uint8)], axis=2)
-    rows = [(bytearray(bgr.tobytes()), 200, 200, 3), (bytearray(rgba.tobytes()), 200, 200, 4), (None, -1, -1, -1)]
-    df = spark.createDataFrame(rows, "data binary, w int, h int, c int").coalesce(1)
-    got = [tuple(r["s"]) for r in df.select(rays.ray_hits()("data", "w", "h", "c", F.lit(90.0), F.lit(0.0)).alias("s")).collect()]
-    assert got[0] == got[1] == (pytest.approx(13.25), None) and got[2] == (None, None)
+def stepped(pixels, angle, skip, step):
+    """One ray, sample after sample."""
+    height, width, _ = pixels.shape
+    a = math.radians((angle + 270.0) % 360.0)
+    x, y = width / 2 + skip * math.cos(a), height / 2 + skip * math.sin(a)
+    while 0 <= x < width and 0 <= y < height:
+        b, g, r = pixels[int(y), int(x)][:3]
+        if g > 200 and r < 50 and b < 50:
+            return math.hypot(x - width / 2, y - height / 2) * 0.265
+        x, y = x + step * math.cos(a), y + step * math.sin(a)
+    return None
+
+
+def test_many_rays_at_once(monkeypatch):
+    monkeypatch.setattr(rays, "RAYS_AT_ONCE", 7)
+    rng = np.random.default_rng(4)
+    for width, height, skip, step in ((300, 200, 10, 1.0), (200, 300, 40, 0.5), (64, 64, 0, 3.0), (90, 90, 60, 1.0)):
+        pixels = np.zeros((height, width, 3), np.uint8)
+        pixels[:, :, 1] = np.where(rng.random((height, width)) < 0.004, 255, 0)
+        angles = rng.uniform(0, 720, 60)
+        got = rays.first_hits(pixels, np.append(angles, np.nan), skip, step)
+        want = [stepped(pixels, a, skip, step) for a in angles]
+        assert np.isnan(got[-1]) and [None if np.isnan(x) else pytest.approx(x) for x in got[:-1]] == want
+    assert [rays.stretches(n) for n in (-1, 0, 7, 8, 30)] == [[], [(0, 0)], [(0, 7)], [(0, 7), (8, 8)], [(0, 7), (8, 23), (24, 30)]]
 
 
 NAMES = [
