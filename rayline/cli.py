@@ -9,6 +9,7 @@ The tables are parquet folders tiles, snaps and places (see rayline.schema).
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from .config import Settings, load
 from .operators.detect import detect, result_text
 from .operators.evaluate import evaluated
 from .sinks.overlay import overlays, save_overlays
-from .sinks.results import report, write_results
-from .sources.cases import read_cases, single_pair
+from .sinks.log import log_outcomes, log_skipped, to_console
+from .sinks.results import report_lines, write_results
+from .sources.cases import bad_lines, read_cases, single_pair
 
 CASES, RESULTS = "cases.csv", "results/evaluation-results.csv"
 
@@ -34,8 +36,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--tables", required=True)
     parser.add_argument("--settings")
     parser.add_argument("--images")
+    parser.add_argument("--quiet", action="store_true", help="log warnings only")
     o = parser.parse_args(argv)
-    spark = spark or SparkSession.builder.appName("rayline").getOrCreate()
+    with to_console(logging.WARNING if o.quiet else logging.INFO):
+        return act(o, spark or SparkSession.builder.appName("rayline").getOrCreate())
+
+
+def act(o: argparse.Namespace, spark: SparkSession) -> int:
+    """What the arguments ask for; the exit status."""
     settings = load(o.settings) if o.settings else Settings()
     try:
         lookups = tables(spark, o.tables)
@@ -47,8 +55,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(row["text"])
         else:
             source, target = (o.args + [CASES, RESULTS][len(o.args) :])[:2]
+            log_skipped(bad_lines(spark, source))
             results = evaluated(detect(read_cases(spark, source), *lookups, settings)).persist()
-            print(report(results))
+            log_outcomes(results)
+            for line in report_lines(results):
+                print(line)
             write_results(results, target)
             if o.images:
                 save_overlays(overlays(results, lookups[0], settings.metres_per_pixel), o.images)

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-SNAP = "snappedPoints array<struct<originalIndex:string,placeId:string>>"
+SNAP = "snappedPoints array<map<string,string>>"
 PLACE = "results array<struct<address_components:array<struct<long_name:string,types:array<string>>>>>"
 
 
 def snapped_place(body: Column) -> Column:
     """The place id of the first point whose original index is 0, else of the first point.
 
-    An index that is present but no number counts as 0.  A point that has index 0 and no place id gives null: there
-    is no further fallback.
+    An index that is present but no number, null among these, counts as 0.  A point that has index 0 and no place id
+    gives null: there is no further fallback.
     """
     points = F.from_json(body, SNAP)["snappedPoints"]
-    zero = F.filter(points, lambda p: p["originalIndex"].isNotNull() & (F.coalesce(F.floor(p["originalIndex"].try_cast("double")).cast("long"), F.lit(0)) == 0))
+    zero = F.filter(points, lambda p: F.map_contains_key(p, "originalIndex") & (F.coalesce(F.floor(p["originalIndex"].try_cast("double")).cast("long"), F.lit(0)) == 0))
     return F.when(F.size(zero) > 0, F.get(zero, F.lit(0))["placeId"]).otherwise(F.get(points, F.lit(0))["placeId"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,22 +54,28 @@ def case_line(row: Column, outcome: Column, alternative: Column, target: Column,
 
 
 def summary_lines(results: DataFrame) -> list[str]:
-    s = summary(results).first()
+    s = summary(results).withColumn("rate", F.format_string("%.1f", "success_rate")).first()
     count = lambda label, n: f"  {label:<20} {n}/{s['total']}"
-    rate = summary(results).select(F.format_string("%.1f", "success_rate")).first()[0]
     return [
         count("PASS (direct):", s["passed_direct"]),
         count("PASS (alternative):", s["passed_alternative"]),
         count("PASS (total):", s["passed"]),
         count("FAIL:", s["failed"]),
         count("ERROR:", s["errors"]),
-        f"  {'Success rate:':<20} {rate}%",
+        f"  {'Success rate:':<20} {s['rate']}%",
     ]
 
 
-def report(results: DataFrame) -> str:
-    """The whole report: a line per case, then the summary."""
+def report_lines(results: DataFrame) -> Iterator[str]:
+    """The report as a stream: a line per case in order, then the summary; the driver holds one partition at a time."""
     rule = "=" * 90
+    yield from ("", rule, "  EVALUATION RESULTS", rule)
     line = case_line(F.col("row_number"), F.col("outcome"), F.col("alternative_used"), F.col("target_road"), F.col("detected_road"))
-    cases = [r[0] for r in results.orderBy("row_number").select(line).toLocalIterator()]
-    return "\n".join(["", rule, "  EVALUATION RESULTS", rule, *cases, "", rule, "  SUMMARY", rule, *summary_lines(results), rule])
+    for row in results.orderBy("row_number").select(line).toLocalIterator():
+        yield row[0]
+    yield from ("", rule, "  SUMMARY", rule, *summary_lines(results), rule)
+
+
+def report(results: DataFrame) -> str:
+    """The whole report as one text, for few cases."""
+    return "\n".join(report_lines(results))

@@ -6,6 +6,7 @@ Write what it returns before it is joined: a plan that is run again would ask ag
 
 from __future__ import annotations
 
+import logging
 import time
 import urllib.error
 import urllib.parse
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import Settings
 
+log = logging.getLogger("rayline")
 #: Public endpoints of the three services.
 MAP_URL = "https://maps.googleapis.com/maps/api/staticmap"
 SNAP_URL = "https://roads.googleapis.com/v1/nearestRoads"
@@ -54,11 +56,14 @@ def get(url: str, s: Settings, sleep: Callable[[float], None] = time.sleep, retr
             with urllib.request.urlopen(url, timeout=max(s.connect_timeout_s, s.read_timeout_s)) as response:
                 return response.read()
         except urllib.error.HTTPError as e:
+            wrong = e
             if attempt == s.max_attempts or not (retry_all or is_retryable(e.code)):
                 raise
-        except OSError:
+        except OSError as e:
+            wrong = e
             if attempt == s.max_attempts:
                 raise
+        log.warning("attempt %d of %d failed (%s); the next in %.1f s", attempt, s.max_attempts, wrong, delay)
         sleep(delay)
         delay *= 2
     raise AssertionError("unreachable")
@@ -77,6 +82,7 @@ def fill(keys: DataFrame, key: str, request: Callable[[str, Settings], str], s:
                     body = get(request(value, s), s)
                     rows.append((value, body if binary else body.decode("utf-8", "replace"), None))
                 except (OSError, ValueError) as e:
+                    log.warning("%s %s: %s", key, value, e)
                     rows.append((value, None, str(e)))
                 time.sleep(pause)
             yield pd.DataFrame(rows, columns=[key, "body", "error"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import http.server
 import json
 import math
+import struct
 import threading
+import zlib
 
 import numpy as np
 import pytest
@@ -16,7 +18,7 @@ from rayline.functions.text import coordinate_text
 from rayline.operators import detect as d, scan
 from rayline.operators.evaluate import WRONG, evaluated, outcome_label, summary, summary_by
 from rayline.operators.lookup import resolve_names, still_missing
-from rayline.sinks import overlay, results as sink
+from rayline.sinks import log as sink_log, overlay, results as sink
 from rayline.sources import cases, images, services
 from rayline.streaming.fixes import outcome_windows, paired_stream
 
@@ -264,6 +266,51 @@ def test_fill_lookup_table(spark, service):
     assert services.place_request("p", s).endswith("place_id=p&key=k")
 
 
+def png(width, height, depth, colour, rows, extra=b"", interlaced=0):
+    """A PNG of filtered rows as they are."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    packed = zlib.compress(rows)
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)
+    return images.SIGNATURE + part(b"IHDR", head) + extra + part(b"IDAT", packed[:5]) + part(b"IDAT", packed[5:]) + part(b"IEND", b"")
+
+
+def test_png_decoding_equals_spark(spark, tmp_path):
+    """All filters, depths, palettes and passes against the image source of Spark."""
+    rng = np.random.default_rng(1)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    palette = part(b"PLTE", rng.integers(0, 256, 48, dtype=np.uint8).tobytes())
+    rows = lambda length, height: b"".join(bytes([y % 5]) + rng.integers(0, 256, length, dtype=np.uint8).tobytes() for y in range(height))
+    passes = b"".join(rows(3 * -(-(19 - c) // dc), -(-(11 - r) // dr)) for r, c, dr, dc in images.PASSES)
+    files = {
+        "rgb": png(19, 23, 8, 2, rows(57, 23)), "rgba": png(19, 23, 8, 6, rows(76, 23)), "grey": png(19, 23, 8, 0, rows(19, 23)), "palette4": png(19, 23, 4, 3, rows(10, 23), palette),
+        "palette1": png(19, 23, 1, 3, rows(3, 23), palette), "passes": png(19, 11, 8, 2, passes, interlaced=1), "own": images.encode_png(rng.integers(0, 256, (7, 9, 3), dtype=np.uint8)),
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.png").write_bytes(data)
+    want = {r["point_key"]: r["image"] for r in images.read_tiles(spark, str(tmp_path)).collect()}
+    bodies = [(k, bytearray(v)) for k, v in files.items()] + [("none", None), ("bad", bytearray(b"<html>")), ("cut", bytearray(files["rgb"][:60]))]
+    got = {r["point_key"]: r["image"] for r in images.decoded_tiles(spark.createDataFrame(bodies, "point_key string, body binary")).collect()}
+    assert set(got) == {*files, "bad", "cut"} and got["bad"]["width"] == got["cut"]["width"] == -1
+    for name in files:
+        assert [got[name][c] for c in ("height", "width", "nChannels", "mode")] == [want[name][c] for c in ("height", "width", "nChannels", "mode")], name
+        assert bytes(got[name]["data"]) == bytes(want[name]["data"]), name
+
+
+def test_log(spark, tmp_path, service, caplog):
+    base, _ = service
+    with caplog.at_level("INFO", "rayline"):
+        services.get(f"{base}/busy", config.Settings(api_key="k"), lambda _: None)
+        assert [r.levelname for r in caplog.records] == ["WARNING"] * 2 and "attempt 1 of 3 failed" in caplog.text
+        caplog.clear()
+        (tmp_path / "cases.csv").write_text("\n".join(LINES) + "\n", encoding="utf-8")
+        assert sink_log.log_skipped(cases.bad_lines(spark, str(tmp_path / "cases.csv"))) == 6
+        assert "line 2 skipped: fewer than four fields" in caplog.text
+        caplog.clear()
+        rows = [(1, "PASS", "a", "a", None), (2, "FAIL", "a", "b / c", WRONG), (3, "ERROR", "a", "", "timeout")]
+        sink_log.log_outcomes(spark.createDataFrame(rows, "row_number int, outcome string, target_road string, detected_road string, error_message string"))
+        assert [(r.levelname, r.getMessage()) for r in caplog.records] == [("INFO", "case 1 passed: expected a, detected a"), ("INFO", "case 2 missed: expected a, detected b / c"), ("WARNING", "case 3 failed: timeout")]
+
+
 def test_paired_stream(spark, tmp_path):
     import datetime as dt
 

@@ -191,6 +191,8 @@ def test_renderings(spark):
 
 SNAPS = [
     ('{"snappedPoints":[{"originalIndex":0,"placeId":"a"}]}', "a"), ("{}", None), ('{"snappedPoints":[]}', None), ("no json", None), (None, None),
+    ('{"snappedPoints":[{"originalIndex":1,"placeId":"b"},{"originalIndex":null,"placeId":"a"}]}', "a"),
+    ('{"snappedPoints":[{"location":{"latitude":1.5},"originalIndex":0,"placeId":"a"}]}', "a"), ('{"snappedPoints":[{"originalIndex":0,"placeId":null}]}', None),
     ('{"snappedPoints":[{"originalIndex":1,"placeId":"b"},{"originalIndex":0,"placeId":"a"}]}', "a"), ('{"snappedPoints":[{"originalIndex":3,"placeId":"b"}]}', "b"),
     ('{"snappedPoints":[{"originalIndex":0},{"originalIndex":1,"placeId":"b"}]}', None), ('{"snappedPoints":[{"placeId":"b"}]}', "b"),
     ('{"snappedPoints":[{"originalIndex":1,"placeId":"b"},{"originalIndex":"zero","placeId":"a"}]}', "a"),
