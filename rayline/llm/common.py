@@ -7,19 +7,19 @@ import os
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.size import BROADCAST_ROWS as BROADCAST_ROWS, gated as gated
+
 #: The white space of every word rule here, as a Java, DuckDB and Python pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only if it was counted and has at most so many (narrow) rows.
-BROADCAST_ROWS = 500_000
-
 #: Rows that a function which reads whole texts is given at a time; Spark bounds the batches themselves by bytes.
 TEXT_BATCH_ROWS = 1000
 
@@ -60,10 +60,26 @@ def write_whole(path: str, pieces: Iterable[bytes]) -> None:
     os.replace(part, path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable copy in the shared folder."""
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> Iterator[None]:
+    """For the time of an action, have Spark hand at most `rows` rows at a time to Python functions.
+
+    Frames that are returned without an action keep the session's own setting and Spark's bound of bytes a batch.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def checkpointed(df: DataFrame, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
+    """Cut the lineage with a reliable copy in the shared folder; `rows` bounds Arrow batches on the way."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with batch_rows(df.sparkSession, rows):
+        return df.checkpoint(eager=True)
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
@@ -81,14 +97,6 @@ def text_or_empty(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def gated(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if its counted rows are at most `most`; otherwise leave the join to shuffle.
-
-    `df` should be checkpointed and narrow: it is counted here.
-    """
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column's values as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -256,22 +256,25 @@ def _open_blocks(placed: DataFrame, groups: DataFrame, columns: DataFrame) -> Da
     """The other products: blocks of rows that share one of `columns` with a row of another part.
 
     Rows of a family's largest group so far are settled among themselves, so they are only sent to parts in which
-    such a row is open.
+    such a row is open.  A family of one group has no open row.
     """
     labelled = placed.join(groups.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("rows"))
-    largest = sizes.groupBy("family").agg(F.max(F.struct("rows", "label"))["label"].alias("most"))
-    rows = checkpointed(labelled.join(largest, "family").select("node", "family", "class", "me", (F.col("label") != F.col("most")).alias("open")))
-    entries = columns.join(rows, "node").select("family", "h", "node", "class", "me", "open")
-    met = entries.groupBy("family", "h", F.col("class").alias("c"), F.col("me").alias("other")).agg(F.max("open").alias("any_open"))
-    # A column met in one part only, or by settled rows only, makes no block.
-    several = met.groupBy("family", "h").agg(F.count("*").alias("parts"), F.max("any_open").alias("some")).where("parts > 1 and some").select("family", "h")
-    met = met.join(several, ["family", "h"])
-    pairs = entries.join(met, ["family", "h"]).where((F.abs(F.col("class") - F.col("c")) <= 1) & (F.col("me") != F.col("other")) & (F.col("open") | F.col("any_open")))
-    lead = lambda c: _part(F.col(c), F.lit(0).cast("long"))
-    mine, others = F.col("me") == lead("class"), F.col("other") == lead("c")
-    done = F.when(F.col("class") == F.col("c"), mine | others).otherwise(mine & others)  # what _first_blocks() has
-    return pairs.where(~done).select("node", "family", F.least("me", "other").alias("left"), F.greatest("me", "other").alias("right"), (F.col("me") > F.col("other")).cast("int").alias("side")).distinct()
+    largest = sizes.groupBy("family").agg(F.max(F.struct("rows", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    rows = labelled.join(largest, "family").select("node", "family", "class", "me", (F.col("label") != F.col("most")).alias("open"))
+    entries = checkpointed(columns.join(rows, "node").select("family", "h", "node", "class", "me", "open"))
+    met = entries.groupBy("family", "h", "class", "me").agg(F.max("open").alias("open"))
+    # The parts that a column is met in; a column met in one part only, or by settled rows only, makes no block.
+    where = met.groupBy("family", "h").agg(F.collect_list(F.struct("class", "me", "open")).alias("parts")).where((F.size("parts") > 1) & F.exists("parts", lambda p: p["open"]))
+    lead = lambda c: _part(c, F.lit(0).cast("long"))
+
+    def other(p: Column) -> Column:
+        mine, its = F.col("me") == lead(F.col("class")), p["me"] == lead(p["class"])
+        done = F.when(F.col("class") == p["class"], mine | its).otherwise(mine & its)  # what _first_blocks() has
+        return (F.abs(F.col("class") - p["class"]) <= 1) & (F.col("me") != p["me"]) & (F.col("open") | p["open"]) & ~done
+
+    sent = entries.join(gated(checkpointed(where)), ["family", "h"]).select("node", "family", "me", F.explode(F.filter("parts", other)["me"]).alias("other")).distinct()
+    return sent.select("node", "family", F.least("me", "other").alias("left"), F.greatest("me", "other").alias("right"), (F.col("me") > F.col("other")).cast("int").alias("side"))
 
 
 def _groups(members: DataFrame, columns: DataFrame, sets: DataFrame, law: Law) -> DataFrame:

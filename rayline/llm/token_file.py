@@ -24,7 +24,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Batches, checkpointed, remove, shared_dir, tidy, write_whole
+from .common import Batches, batch_rows, checkpointed, remove, shared_dir, tidy, write_whole
 from .elias_fano import EliasFano
 
 MAGIC = b"RLTOK\x02"
@@ -33,8 +33,8 @@ _HEAD = struct.Struct("<6sBxQQqQ")
 SEGMENT_IDS = 2_000_000
 #: Pieces a worker remembers before it starts again.
 WORDS_KEPT = 1_300_000
-#: Rows whose texts are encoded together.
-BATCH_ROWS = 600
+#: Rows whose texts are encoded together, and images read together.
+BATCH_ROWS, BATCH_IMAGES = 600, 16
 
 #: Bytes of text handled at a time; the library gets a longer text whole.
 SLAB_BYTES = 2 << 20
@@ -336,7 +336,8 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int, id_col: s
     order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("row")]
     keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    ordered.mapInArrow(tidy(_write(spec, end, width), BATCH_ROWS), SEGMENTS).write.option("compression", "zstd").parquet(folder)
+    with batch_rows(spark, BATCH_ROWS):
+        ordered.mapInArrow(tidy(_write(spec, end, width), BATCH_ROWS), SEGMENTS).write.option("compression", "zstd").parquet(folder)
 
 
 def _read(batches: Batches) -> Batches:
@@ -379,7 +380,8 @@ def export_segments(spark: SparkSession, folder: str, target: str) -> int:
             yield pa.RecordBatch.from_pydict({"files": pa.array([b.num_rows], pa.int64())})
 
     stored = spark.read.schema(SEGMENTS).parquet(folder).select("part", "seq", "image")
-    return stored.mapInArrow(tidy(run), "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    with batch_rows(spark, BATCH_IMAGES):
+        return stored.mapInArrow(tidy(run), "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
 def token_round_trip(df: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
@@ -390,6 +392,6 @@ def token_round_trip(df: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid4().hex}"
     write_tokens(df, tokenizer, folder, end)
-    found = checkpointed(read_tokens(spark, folder))
+    found = checkpointed(read_tokens(spark, folder), BATCH_IMAGES)
     remove(spark, folder)
     return found

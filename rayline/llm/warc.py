@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Batches, checkpointed, gated, remove, shared_dir, text_or_empty, tidy, write_whole
+from .common import Batches, batch_rows, checkpointed, gated, remove, shared_dir, text_or_empty, tidy, write_whole
 
 #: Bytes of payload in one chunk, and of chunks in one batch on the way to the table.
 CHUNK_BYTES, BATCH_BYTES = 64 << 10, 4 << 20
+#: Rows of pages, and of chunks, that Python is handed at a time.
+BATCH_PAGES, BATCH_CHUNKS = 500, 200
 #: Smaller payloads are never revisits.
 LEAST_REVISIT = 100
 #: Fixed values of the format.
@@ -171,7 +173,8 @@ def write_archive(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     sized = checkpointed(pages.select("page_id", "digest", F.octet_length("html").alias("size")))
     later = gated(revisits(sized).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to"))
     rows = pages.join(later, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
-    rows.mapInArrow(tidy(_write), RECORDS_DDL).write.option("compression", "zstd").parquet(folder)
+    with batch_rows(spark, BATCH_PAGES):
+        rows.mapInArrow(tidy(_write), RECORDS_DDL).write.option("compression", "zstd").parquet(folder)
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,7 +203,8 @@ def export_archives(spark: SparkSession, folder: str, target: str) -> int:
 
     rows = spark.read.schema(RECORDS_DDL).parquet(folder).select("part", "record", "chunk", "data")
     ordered = rows.repartition("part").sortWithinPartitions("part", "record", "chunk")
-    return ordered.mapInArrow(tidy(run), "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    with batch_rows(spark, BATCH_CHUNKS):
+        return ordered.mapInArrow(tidy(run), "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
 def archive_round_trip(df: DataFrame) -> DataFrame:
@@ -211,6 +215,6 @@ def archive_round_trip(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/archive-{uuid4().hex}"
     write_archive(df, folder)
-    found = checkpointed(read_archive(spark, folder))
+    found = checkpointed(read_archive(spark, folder), BATCH_CHUNKS)
     remove(spark, folder)
     return found
