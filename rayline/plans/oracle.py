@@ -25,19 +25,59 @@ def project(lat: str, lon: str, dist: str, angle: str) -> tuple[str, str]:
     return f"degrees({f2})", f"degrees(CASE WHEN {turn} < 0 THEN {turn} + 2 * pi() ELSE {turn} END - pi())"
 
 
-def ray(rows: str, key: str, angle: str) -> str:
-    """(key, metres) of the first hit on the mask for each row of `rows`; rays without a hit are left out."""
+def ray(rows: str, key: str, angle: str, size: int = 160, skip: int = 50, one_in: int = 61, steps: int = 65) -> str:
+    """(key, metres) of the first hit on a mask for each row of `rows`; rays without a hit are left out."""
     a = f"radians((({angle}) + 270.0::DOUBLE) % 360.0::DOUBLE)"
     return f"""
-  SELECT {key}, sqrt((50 + k) * cx * ((50 + k) * cx) + (50 + k) * sx * ((50 + k) * sx)) * 0.265::DOUBLE AS metres FROM (
+  SELECT {key}, sqrt(({skip} + k) * cx * (({skip} + k) * cx) + ({skip} + k) * sx * (({skip} + k) * sx)) * 0.265::DOUBLE AS metres FROM (
     SELECT {key}, cx, sx, min(k) AS k FROM (
-      SELECT {key}, cx, sx, k, 80.0::DOUBLE + (50 + k) * cx AS x, 80.0::DOUBLE + (50 + k) * sx AS y
-      FROM (SELECT {key}, cos({a}) AS cx, sin({a}) AS sx FROM {rows}) r, unnest(range(0, 65)) AS u(k)) s
-    WHERE x >= 0 AND x < 160 AND y >= 0 AND y < 160
-      AND (floor(x + 1e-9::DOUBLE)::BIGINT * 7919 + floor(y + 1e-9::DOUBLE)::BIGINT * 104729) % 61 = 0
+      SELECT {key}, cx, sx, k, {size / 2}::DOUBLE + ({skip} + k) * cx AS x, {size / 2}::DOUBLE + ({skip} + k) * sx AS y
+      FROM (SELECT {key}, cos({a}) AS cx, sin({a}) AS sx FROM {rows}) r, unnest(range(0, {steps})) AS u(k)) s
+    WHERE x >= 0 AND x < {size} AND y >= 0 AND y < {size}
+      AND (floor(x + 1e-9::DOUBLE)::BIGINT * 7919 + floor(y + 1e-9::DOUBLE)::BIGINT * 104729) % {one_in} = 0
     GROUP BY {key}, cx, sx) h"""
 
 
+#: The masks of the queries: production size, and that of tables of rasters.
+FULL = {"size": 1000, "skip": 50, "one_in": 499, "steps": 659}
+TILE = {"size": 32, "skip": 4, "one_in": 17, "steps": 20}
+
+
+def both_rays(mask: dict, has_raster: str = "true") -> str:
+    """Common table expressions up to c: each pair's angles and both hits, the rays of pairs without a raster left out."""
+    return f"""{PAIRS}, h AS (SELECT *, {norm('raw')} AS b FROM pairs),
+g AS MATERIALIZED (SELECT *, {norm('b - 25.0::DOUBLE')} AS la, {norm('b + 25.0::DOUBLE')} AS ra FROM h), v AS (SELECT * FROM g WHERE {has_raster}),
+l AS ({ray('v', 'event_id', 'la', **mask)}), r AS ({ray('v', 'event_id', 'ra', **mask)}),
+c AS (SELECT g.event_id, g.lat, g.lon, la, ra, l.metres AS lm, r.metres AS rm,
+  l.metres IS NOT NULL AND (r.metres IS NULL OR l.metres <= r.metres) AS use_left, l.metres IS NULL AND r.metres IS NULL AS nohit
+  FROM g LEFT JOIN l USING (event_id) LEFT JOIN r USING (event_id))"""
+
+
+def detected(mask: dict) -> str:
+    return f"""
+WITH {both_rays(mask)},
+d AS (SELECT *, CASE WHEN nohit THEN 0 WHEN use_left THEN lm ELSE rm END AS d, CASE WHEN nohit THEN 0 WHEN use_left THEN la ELSE ra END AS a,
+  CASE WHEN use_left THEN rm ELSE lm END AS ad, CASE WHEN nohit THEN 0 WHEN use_left THEN ra ELSE la END AS aa FROM c)
+SELECT event_id, round(d, 6) AS distance, round(a, 6) AS angle, round(ad, 6) AS alt_distance, round(aa, 6) AS alt_angle,
+  round(CASE WHEN nohit THEN lat ELSE {_t[0]} END, 7) AS target_lat, round(CASE WHEN nohit THEN lon ELSE {_t[1]} END, 7) AS target_lon FROM d"""
+
+
+def arrow_scan(**mask: int) -> str:
+    return f"""
+WITH a AS MATERIALIZED (SELECT event_id, {ANGLE} AS la, {norm(ANGLE + ' + 50.0::DOUBLE')} AS ra FROM events),
+l AS ({ray('a', 'event_id', 'la', **mask)}), r AS ({ray('a', 'event_id', 'ra', **mask)})
+SELECT event_id, round(l.metres, 6) AS left_metres, round(r.metres, 6) AS right_metres FROM a LEFT JOIN l USING (event_id) LEFT JOIN r USING (event_id)"""
+
+
+def first_hit(**mask: int) -> str:
+    return f"WITH h AS ({ray('events', 'event_id', ANGLE, **mask)}) SELECT e.event_id, round(h.metres, 6) AS metres FROM events e LEFT JOIN h USING (event_id)"
+
+
+def road_name(prefix: str) -> str:
+    """What the places of detect_tables are called: the seventh has no name, the ninth is no road."""
+    return f"CASE WHEN event_id % 11 NOT IN (7, 9) THEN 'Road {prefix}' || (event_id % 11) END"
+
+
 def normal(c: str) -> str:
     out = f"regexp_replace(lower(regexp_replace(regexp_replace({c}, '^[\\x00-\\x20]+', ''), '[\\x00-\\x20]+$', '')), '\\s+', ' ', 'g')"
     for a, b in (("ou", "u"), ("ch", "k"), ("th", "t"), ("ph", "f"), ("ai", "e"), ("ei", "i"), ("oi", "i"), ("x", "k"), ("w", "o")):
@@ -114,26 +154,25 @@ SQL = {
 WITH r AS (SELECT event_id, (value + 0.0123::DOUBLE) / 0.265::DOUBLE AS m, radians(({ANGLE} + 270.0::DOUBLE) % 360.0::DOUBLE) AS a FROM events),
 p AS (SELECT event_id, floor(500.0::DOUBLE + m * cos(a) + 0.5::DOUBLE)::INT AS x, floor(500.0::DOUBLE + m * sin(a) + 0.5::DOUBLE)::INT AS y FROM r)
 SELECT event_id, x, y, round(sqrt(((x - 500) * (x - 500) + (y - 500) * (y - 500))::DOUBLE) * 0.265::DOUBLE, 6) AS metres FROM p""",
-    "raster_ray_first_hit": f"WITH h AS ({ray('events', 'event_id', ANGLE)}) SELECT e.event_id, round(h.metres, 6) AS metres FROM events e LEFT JOIN h USING (event_id)",
+    "raster_ray_first_hit": first_hit(),
+    "raster_ray_full": first_hit(**FULL),
     "raster_pixel_predicate": """
 WITH p AS (SELECT event_id, event_id * 31 % 60 AS r, event_id * 17 % 256 AS g, event_id * 13 % 60 AS b FROM events)
 SELECT event_id, g > 200 AND r < 50 AND b < 50 AS road, r >= 5 AND r < 55 AND b >= 5 AND b < 45 AS inside FROM p""",
-    "detect_primary_alternative": f"""
-WITH {PAIRS}, h AS (SELECT *, {norm('raw')} AS b FROM pairs),
-g AS (SELECT *, {norm('b - 25.0::DOUBLE')} AS la, {norm('b + 25.0::DOUBLE')} AS ra FROM h),
-l AS ({ray('g', 'event_id', 'la')}), r AS ({ray('g', 'event_id', 'ra')}),
-c AS (SELECT g.event_id, g.lat, g.lon, la, ra, l.metres AS lm, r.metres AS rm,
-  l.metres IS NOT NULL AND (r.metres IS NULL OR l.metres <= r.metres) AS use_left, l.metres IS NULL AND r.metres IS NULL AS nohit
-  FROM g LEFT JOIN l USING (event_id) LEFT JOIN r USING (event_id)),
-d AS (SELECT *, CASE WHEN nohit THEN 0 WHEN use_left THEN lm ELSE rm END AS d, CASE WHEN nohit THEN 0 WHEN use_left THEN la ELSE ra END AS a,
-  CASE WHEN use_left THEN rm ELSE lm END AS ad, CASE WHEN nohit THEN 0 WHEN use_left THEN ra ELSE la END AS aa FROM c)
-SELECT event_id, round(d, 6) AS distance, round(a, 6) AS angle, round(ad, 6) AS alt_distance, round(aa, 6) AS alt_angle,
-  round(CASE WHEN nohit THEN lat ELSE {_t[0]} END, 7) AS target_lat, round(CASE WHEN nohit THEN lon ELSE {_t[1]} END, 7) AS target_lon FROM d""",
+    "detect_primary_alternative": detected({}),
+    "detect_full_raster": detected(FULL),
+    "detect_tables": f"""
+WITH {both_rays(TILE, 'event_id % 13 <> 0 AND event_id % 17 <> 0')},
+d AS (SELECT *, CASE WHEN nohit THEN 0 WHEN use_left THEN lm ELSE rm END AS d, CASE WHEN use_left THEN rm ELSE lm END AS ad, NOT nohit AND event_id % 5 <> 0 AS has_main FROM c),
+e AS (SELECT *, ad IS NOT NULL AND event_id % 4 <> 0 AS has_other FROM d)
+SELECT event_id, round(d, 6) AS distance, round(ad, 6) AS alt_distance, CASE WHEN has_main THEN {road_name('p')} END AS road_name, CASE WHEN has_other THEN {road_name('q')} END AS alternative_road_name,
+  CASE WHEN event_id % 13 = 0 THEN 'no raster for this position' WHEN event_id % 17 = 0 THEN 'raster could not be decoded'
+  WHEN (has_main OR has_other) AND event_id % 11 = 7 THEN 'route without a name' END AS error FROM e""",
     "multi_angle_sweep": f"""
 WITH {PAIRS}, o AS (SELECT event_id, x.o::DOUBLE AS "offset", {norm('raw')} AS b FROM pairs, unnest([-50, -25, 25, 50]) AS x(o)),
-g AS (SELECT event_id, "offset", {norm('b + "offset"')} AS a, event_id * 1000 + "offset"::BIGINT AS id FROM o),
-h AS ({ray('g', 'id', 'a')})
-SELECT g.event_id, g."offset", round(h.metres, 6) AS metres FROM g LEFT JOIN h USING (id)""",
+g AS MATERIALIZED (SELECT event_id, "offset", {norm('b + "offset"')} AS a FROM o),
+h AS MATERIALIZED ({ray('g', 'event_id, "offset"', 'a')})
+SELECT g.event_id, g."offset", round(h.metres, 6) AS metres FROM g LEFT JOIN h USING (event_id, "offset")""",
     "name_normalize": "SELECT p_partkey, " + normal("(chr(32) || chr(9) || p_name || '  Xouthai  ' || p_type || ' ' || chr(10))") + " AS normal FROM part",
     "name_fuzzy_rule": f"WITH {NAME_PAIRS} SELECT p_partkey, {rule('a', 'b')}::INT AS rule FROM names",
     "name_primitives": f"""
@@ -179,8 +218,12 @@ SELECT event_id, printf('BearingAngles[left=%.2f°, right=%.2f°]', (event_id %
 WITH {SCORED} SELECT row_number, 'Case #' || CASE WHEN row_number < 1000 THEN lpad(row_number::VARCHAR, 3, '0') ELSE row_number::VARCHAR END || ' — ' || CASE WHEN lower(road_name) = lower(target_road) THEN 'MATCH' ELSE 'MISMATCH' END
   || '|Expected cross-street:  ' || target_road || '|Detected (yellow):      ' || coalesce(upper(road_name), '(none)')
   || '|Alternative (cyan):     ' || coalesce(alternative_road_name, '(none)') || '|White arrow = heading  •  Red cross = current position' AS caption FROM scored""",
-    "raster_arrow_scan": f"""
-WITH a AS (SELECT event_id, {ANGLE} AS la, {norm(ANGLE + ' + 50.0::DOUBLE')} AS ra FROM events),
-l AS ({ray('a', 'event_id', 'la')}), r AS ({ray('a', 'event_id', 'ra')})
-SELECT event_id, round(l.metres, 6) AS left_metres, round(r.metres, 6) AS right_metres FROM a LEFT JOIN l USING (event_id) LEFT JOIN r USING (event_id)""",
+    "raster_arrow_scan": arrow_scan(),
+    "raster_arrow_full": arrow_scan(**FULL),
+    "case_file_rows": f"""
+WITH n AS (SELECT *, event_id % 7 = 0 AS blank FROM events WHERE event_id > (SELECT min(event_id) FROM events)),
+c AS (SELECT event_id, row_number() OVER (ORDER BY event_id)::INT AS row_number, {coord_parts(COORD)} AS q FROM n WHERE NOT blank),
+v AS (SELECT *, len(q) = 2 AND try_cast(trim(q[1]) AS DOUBLE) IS NOT NULL AND try_cast(trim(q[2]) AS DOUBLE) IS NOT NULL AS ok FROM c)
+SELECT row_number, 'road ' || event_id AS current_road, 'Target' AS target_road, 'Athens' AS city, CASE WHEN ok THEN trim(q[1])::DOUBLE END AS prev_lat,
+  CASE WHEN NOT ok THEN 'bad previous coordinates' END AS reason FROM v""",
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,7 +16,7 @@ from ..operators.lookup import resolve_names, still_missing
 from ..operators.scan import scan_rays
 from ..sinks.overlay import caption_lines, draw
 from ..sinks.results import case_line, csv_line
-from ..sources.cases import parsed_line
+from ..sources.cases import case_rows, parsed_line
 from ..sources.images import encode_png
 from . import tables as t
 
@@ -50,8 +49,20 @@ def geo_to_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster_ray_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    angle = (F.col("event_id") * 37 % 360).cast("double") + F.lit(0.3)
-    return t.load(spark, sf_dir, "events").select("event_id", F.round(rays.scan_mask(angle, t.road, t.WIDTH, t.HEIGHT, t.SKIP), 6).alias("metres"))
+    return _first_hit(spark, sf_dir, t.SMALL)
+
+
+def raster_ray_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a raster of production size."""
+    return _first_hit(spark, sf_dir, t.FULL)
+
+
+def _event_angle() -> Column:
+    return (F.col("event_id") * 37 % 360).cast("double") + F.lit(0.3)
+
+
+def _first_hit(spark: SparkSession, sf_dir: str, mask: t.Mask) -> DataFrame:
+    return t.load(spark, sf_dir, "events").select("event_id", F.round(mask.metres(_event_angle()), 6).alias("metres"))
 
 
 def raster_pixel_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,24 +71,52 @@ def raster_pixel_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", rays.is_road(F.col("r"), F.col("g"), F.col("b")).alias("road"), rays.inside(F.col("r") - 5, F.col("b") - 5, 50, 40).alias("inside"))
 
 
-def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both rays of each pair on the procedural mask, and what follows from them."""
-    scan = lambda side: rays.scan_mask(F.col(f"angles.{side}"), t.road, t.WIDTH, t.HEIGHT, t.SKIP)
-    rows = d.with_angles(t.pairs(spark, sf_dir)).withColumn("hits", F.struct(scan("left").alias("left"), scan("right").alias("right")))
-    return d.with_targets(rows)
-
-
-def detect_primary_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _detected(spark: SparkSession, sf_dir: str, mask: t.Mask) -> DataFrame:
+    """Both rays of each pair on a procedural mask, and what follows from them."""
+    scan = lambda side: mask.metres(F.col(f"angles.{side}")).alias(side)
+    rows = d.with_targets(d.with_angles(t.pairs(spark, sf_dir)).withColumn("hits", F.struct(scan("left"), scan("right"))))
     r = lambda c, n=6: F.round(c, n)
-    return _detected(spark, sf_dir).select(
+    return rows.select(
         "event_id", r("chosen.distance").alias("distance"), r("chosen.angle").alias("angle"), r("chosen.alt_distance").alias("alt_distance"),
         r("chosen.alt_angle").alias("alt_angle"), r("target.lat", 7).alias("target_lat"), r("target.lon", 7).alias("target_lon"),
     )
 
 
+def detect_primary_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detected(spark, sf_dir, t.SMALL)
+
+
+def detect_full_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a raster of production size."""
+    return _detected(spark, sf_dir, t.FULL)
+
+
+def _lookups(spark: SparkSession, sf_dir: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Responses for most of the points that were found: 11 places, one a route without a name, one no route."""
+    e = F.col("event_id")
+    key = lambda p: F.when(F.col(f"{p}.lat").isNotNull(), text.coordinate_text(F.col(f"{p}.lat"), F.col(f"{p}.lon")))
+    body = lambda prefix: F.concat(F.lit(f'{{"snappedPoints":[{{"originalIndex":0,"placeId":"{prefix}'), (e % 11).cast("string"), F.lit('"}]}'))
+    main = found.where("found and event_id % 5 <> 0").select(key("target").alias("point_key"), body("p").alias("body"))
+    other = found.where("event_id % 4 <> 0").select(key("alt_point").alias("point_key"), body("q").alias("body")).where("point_key is not null")
+    place = F.concat("prefix", F.col("id").cast("string"))
+    named = _place_body(F.concat(F.lit("Road "), place), F.when(F.col("id") == 9, 2).otherwise(1))
+    unnamed = F.lit('{"results":[{"address_components":[{"types":["route"]}]}]}')
+    both = spark.range(11).withColumn("prefix", F.explode(F.array(F.lit("p"), F.lit("q"))))
+    return main.union(other), both.select(place.alias("place_id"), F.when(F.col("id") == 7, unnamed).otherwise(named).alias("body"))
+
+
+def detect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole detection from tables of rasters, snap and place responses; errors and gaps of every kind."""
+    settings = Settings(skip_pixels=t.TILE.skip)
+    pairs, tiles = t.pairs(spark, sf_dir), t.tiles(spark, sf_dir)
+    lookups = _lookups(spark, sf_dir, d.with_targets(d.scan_tiles(pairs, tiles, settings)))
+    found = d.detect(pairs, tiles, *lookups, settings)
+    return found.select("event_id", F.round("chosen.distance", 6).alias("distance"), F.round("chosen.alt_distance", 6).alias("alt_distance"), "road_name", "alternative_road_name", "error")
+
+
 def multi_angle_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the pair of rays: four offsets of each pair."""
-    rows = d.sweep(t.pairs(spark, sf_dir), t.road, t.WIDTH, t.HEIGHT, [-50, -25, 25, 50], Settings(skip_pixels=t.SKIP))
+    rows = d.sweep(t.pairs(spark, sf_dir), t.SMALL.road, t.SMALL.size, t.SMALL.size, [-50, -25, 25, 50], Settings(skip_pixels=t.SMALL.skip))
     return rows.select("event_id", "offset", F.round("metres", 6).alias("metres"))
 
 
@@ -227,21 +266,28 @@ def debug_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.scored(spark, sf_dir).select("row_number", F.array_join(lines, "|").alias("caption"))
 
 
-def _mask_pixels() -> np.ndarray:
-    """The procedural mask as an image in BGR order."""
-    y, x = np.mgrid[0 : t.HEIGHT, 0 : t.WIDTH]
-    pixels = np.zeros((t.HEIGHT, t.WIDTH, 3), np.uint8)
-    pixels[:, :, 1] = np.where(t.road(x, y), 255, 0)
-    return pixels
+def _arrow_scan(spark: SparkSession, sf_dir: str, mask: t.Mask) -> DataFrame:
+    rows = scan_rays(t.load(spark, sf_dir, "events").select("event_id"), t.one_tile(spark, mask), F.lit("mask"), _event_angle(), geo.normalize(_event_angle() + 50.0), Settings(skip_pixels=mask.skip))
+    return rows.select("event_id", F.round("hits.left", 6).alias("left_metres"), F.round("hits.right", 6).alias("right_metres"))
 
 
 def raster_arrow_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both rays of every event over the bytes of one image, the procedural mask of raster_ray_first_hit."""
-    image = t.image(_mask_pixels())
-    tiles = spark.range(1).select(F.lit("mask").alias("point_key"), image.alias("image"))
-    angle = (F.col("event_id") * 37 % 360).cast("double") + F.lit(0.3)
-    rows = scan_rays(t.load(spark, sf_dir, "events").select("event_id"), tiles, F.lit("mask"), angle, geo.normalize(angle + 50.0), Settings(skip_pixels=t.SKIP))
-    return rows.select("event_id", F.round("hits.left", 6).alias("left_metres"), F.round("hits.right", 6).alias("right_metres"))
+    """Both rays of every event over the bytes of one image, the mask of raster_ray_first_hit."""
+    return _arrow_scan(spark, sf_dir, t.SMALL)
+
+
+def raster_arrow_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a raster of production size."""
+    return _arrow_scan(spark, sf_dir, t.FULL)
+
+
+def case_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case file of events: a header, blank and bad lines, good ones; numbered in order of input."""
+    e = F.col("event_id")
+    line = F.when(e % 7 == 0, F.lit("  ")).otherwise(F.concat_ws(";", _coordinate(), F.lit("38.5, 24.25"), F.concat(F.lit("road "), e.cast("string")), F.lit(" Target "), F.lit(""), F.lit("Athens")))
+    ordered = t.load(spark, sf_dir, "events").select((e * 2**20).alias("_row"), line.alias("value"))
+    rows = case_rows(ordered)
+    return rows.select("row_number", "case.current_road", "case.target_road", "case.city", F.col("case.previous.lat").alias("prev_lat"), F.col("case.bad").alias("reason"))
 
 
 def overlay_png(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +296,7 @@ def overlay_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = caption_lines(F.col("row_number"), F.col("target_road"), F.col("road_name"), F.col("alternative_road_name"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rgb = _mask_pixels()[:, :, ::-1]
+        rgb = t.SMALL.pixels()[:, :, ::-1]
         for b in batches:
             png = [encode_png(draw(rgb, float(n % 360), [(100, 60, (255, 220, 0), "P")], list(c))) for n, c in zip(b["row_number"], b["caption"], strict=True)]
             yield pd.DataFrame({"row_number": b["row_number"], "bytes": [len(x) for x in png], "sha256": [hashlib.sha256(x).hexdigest() for x in png]})
@@ -264,6 +310,7 @@ QUERIES: dict[str, Query] = {
         geo_bearing, geo_search_angles, geo_project_point, geo_to_pixel, raster_ray_first_hit, raster_pixel_predicate, detect_primary_alternative,
         multi_angle_sweep, name_normalize, name_fuzzy_rule, name_primitives, json_snap_place, json_route_name, lookup_road_names,
         lookup_missing_keys, evaluate_outcome, report_summary, report_by_group, report_case_lines, coord_parse, csv_parse_lines,
-        csv_format_rows, text_labels, debug_caption, raster_arrow_scan, overlay_png,
+        csv_format_rows, text_labels, debug_caption, raster_arrow_scan, overlay_png, raster_ray_full, detect_full_raster, raster_arrow_full,
+        detect_tables, case_file_rows,
     )
 }

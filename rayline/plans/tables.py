@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.rays import scan_mask
+from ..functions.text import coordinate_text
 from ..operators.pairing import paired_fixes
+from ..schema import TILES
+
+#: Rasters on which rays start at `skip` pixels; a pixel is road where a number made of its place is a multiple of
+#: `one_in`, so that some rays miss.  FULL is as large as a production raster; TILE is for tables of one raster a row.
+@dataclass(frozen=True)
+class Mask:
+    size: int
+    skip: int
+    one_in: int
+
+    def road(self, x, y):
+        """Works on Columns and on arrays."""
+        return (x * 7919 + y * 104729) % self.one_in == 0
+
+    def pixels(self) -> np.ndarray:
+        """As an image in BGR order."""
+        y, x = np.mgrid[0 : self.size, 0 : self.size]
+        out = np.zeros((self.size, self.size, 3), np.uint8)
+        out[:, :, 1] = np.where(self.road(x, y), 255, 0)
+        return out
 
-#: A raster of this size, on which rays start at SKIP pixels; see road().
-WIDTH = HEIGHT = 160
-SKIP = 50
+    def metres(self, angle: Column) -> Column:
+        return scan_mask(angle, self.road, self.size, self.size, self.skip)
+
+
+SMALL, FULL, TILE = Mask(160, 50, 61), Mask(1000, 50, 499), Mask(32, 4, 17)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +57,27 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("event_id", "user_id", "value", point("prev_lat", "prev_lon").alias("previous"), point("lat", "lon").alias("current"))
 
 
-def image(pixels: np.ndarray) -> Column:
-    """An image literal from an array in BGR order."""
-    height, width, channels = pixels.shape
-    fields = {"origin": F.lit(""), "height": F.lit(height), "width": F.lit(width), "nChannels": F.lit(channels), "mode": F.lit(16), "data": F.lit(bytearray(pixels.tobytes()))}
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+def one_tile(spark: SparkSession, mask: Mask) -> DataFrame:
+    """A table of one raster, that of the point `mask`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            image = {"origin": "", "height": mask.size, "width": mask.size, "nChannels": 3, "mode": 16, "data": mask.pixels().tobytes()}
+            kind = pa.struct([("origin", pa.string()), *((c, pa.int32()) for c in ("height", "width", "nChannels", "mode")), ("data", pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.array(["mask"] * b.num_rows), pa.array([image] * b.num_rows, kind)], ["point_key", "image"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, TILES)
 
 
-def road(x, y):
-    """A procedural mask that some rays miss; works on Columns and on arrays."""
-    return (x * 7919 + y * 104729) % 61 == 0
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small raster for the place of each event; some events have none, and some a broken one."""
+    e, broken = F.col("event_id"), F.col("event_id") % 17 == 0
+    size = F.when(broken, -1).otherwise(TILE.size)
+    image = F.struct(
+        F.lit("").alias("origin"), size.alias("height"), size.alias("width"), F.when(broken, -1).otherwise(3).alias("nChannels"), F.when(broken, -1).otherwise(16).alias("mode"),
+        F.when(broken, F.lit(bytearray())).otherwise(F.lit(bytearray(TILE.pixels().tobytes()))).alias("data"),
+    )
+    return fixes(spark, sf_dir).where(e % 13 != 0).select(coordinate_text(F.col("lat"), F.col("lon")).alias("point_key"), image.alias("image"))
 
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,17 @@ def case_lines(spark: SparkSession, path: str) -> DataFrame:
 
     The first line is a header and is dropped unread.  Blank lines have no number; bad lines have one.
     """
-    lines = spark.read.text(path).withColumn("_row", F.monotonically_increasing_id())
+    rows = case_rows(spark.read.text(path).withColumn("_row", F.monotonically_increasing_id()))
+    if rows is None:
+        raise ValueError(f"{path} is empty")
+    return rows
+
+
+def case_rows(lines: DataFrame) -> DataFrame | None:
+    """The same for lines (value, _row), in order of _row, whose bits from 33 on cut them into stretches; None for no line."""
     head = lines.agg(F.min("_row")).first()[0]
     if head is None:
-        raise ValueError(f"{path} is empty")
+        return None
     body = lines.where(F.col("_row") > head).withColumn("line", trimmed(F.col("value"))).where("line <> ''")
     return numbered(body, "_row").select("row_number", "line", parsed_line(F.col("line")).alias("case"))
 

@@ -18,6 +18,7 @@ from rayline.functions.text import coordinate_text
 from rayline.operators import detect as d, scan
 from rayline.operators.evaluate import WRONG, evaluated, outcome_label, summary, summary_by
 from rayline.operators.lookup import resolve_names, still_missing
+from rayline.operators.pairing import paired_fixes
 from rayline.sinks import log as sink_log, overlay, results as sink
 from rayline.sources import cases, images, services
 from rayline.streaming.fixes import outcome_windows, paired_stream
@@ -141,6 +142,21 @@ def test_detection_end_to_end(spark, world):
     assert text.splitlines()[0] == "DetectionResult {" and "road             = Kosmas" in text and len(text.splitlines()) == 8
 
 
+def test_pairs_of_hot_entities(spark):
+    """An entity of many fixes is cut into ranges; pairs are those of a plain window."""
+    rows = [(e, i * 7919 % 500, float(i), float(-i)) for e, n in (("hot", 500), ("b", 30), (None, 200), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "entity string, ts long, lat double, lon double").repartition(5)
+    key = lambda r: (r["entity"] or "", r["ts"], r["lat"], r["prev_lat"], r["prev_lon"])
+    plain = sorted(map(key, paired_fixes(df, "entity", ["ts"]).collect()))
+    assert len(plain) == 499 + 29 + 199
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = paired_fixes(df, "entity", ["ts"], most=50)
+        assert sorted(map(key, cut.collect())) == plain and set(cut.columns) == {*df.columns, "prev_lat", "prev_lon"}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_one_scan(spark, world):
     """Rasters are scanned once, however many columns follow from the hits."""
     found = evaluated(d.detect(cases.read_cases(spark, str(world / "cases.csv")), *cli.tables(spark, str(world))))
