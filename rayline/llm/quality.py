@@ -116,8 +116,12 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def failed(version: int | Column) -> Column:
-    """Whether a ledger row fails a policy."""
-    return F.col("rule_bits").bitwiseAND(F.lit(POLICIES[version]).cast("long")) != 0
+    """Whether a ledger row fails a policy, or the policy its row names; null where it names none."""
+    if isinstance(version, Column):
+        rules = F.coalesce(*[F.when(version == v, F.lit(m).cast("long")) for v, m in POLICIES.items()])
+    else:
+        rules = F.lit(POLICIES[version]).cast("long")
+    return F.col("rule_bits").bitwiseAND(rules) != 0
 
 
 def judged(df: DataFrame, version: int = max(POLICIES)) -> DataFrame:

@@ -320,8 +320,8 @@ def _write(spec, end: int, width: int):
 def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append `end`, and write segments in ascending order of identifiers to `folder`.
 
-    Null identifiers come last; rows that repeat an identifier (or have none) stand next to each other, in order of a
-    hash of their texts, and are spread over as many tasks as they fill.  A null text is the empty text: its ids are
+    Null identifiers come last; rows that repeat an identifier (or have none) stand next to each other, in order of
+    input, and are spread over as many tasks as they fill.  A null text is the empty text: its ids are
     the end id alone.  A text of any length is one document of one segment.  Other columns are not read, and an empty
     table gives an empty folder.
     """
@@ -333,9 +333,8 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, end: int, id_col: s
     width = 2 if max(end, Tokenizer.from_str(text).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
     spec = spark.sparkContext.broadcast(text)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("row")]
-    keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     with batch_rows(spark, BATCH_ROWS):
         ordered.mapInArrow(tidy(_write(spec, end, width), BATCH_ROWS), SEGMENTS).write.option("compression", "zstd").parquet(folder)
 

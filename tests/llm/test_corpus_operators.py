@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rayline.llm import exact_dedup, mixing, ngram_join, sharding, warc
@@ -201,6 +203,44 @@ def test_sharding(spark):
     assert sharding.rendezvous_shards(table(spark, []), 24).count() == 0
 
 
+def plain_winner(key, weights):
+    """The shard with the least bid, from the hash's own library."""
+    best = None
+    for shard, weight in enumerate(weights):
+        seed = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), 42)
+        value = xxhash.xxh64_intdigest(key.encode(), seed) if key is not None else seed
+        bid = -math.log(((value >> 11) + 0.5) / 2**53) / weight if weight > 0 else math.inf
+        best = min(best or (bid, shard), (bid, shard))
+    return best[1]
+
+
+def test_sharding_equals_plain_bids(spark):
+    rows = documents()
+    for weights in ([1.0] * 24, [1.0, 0.5, 4.0]):
+        got = {(r["doc_id"], r["shard"], r["grown_shard"]) for r in sharding.rendezvous_shards(table(spark, rows), weights).collect()}
+        name = lambda i: None if i is None else str(i)
+        assert got == {(i, plain_winner(name(i), weights), plain_winner(name(i), [*weights, 1.0])) for i, _, _ in rows}
+
+
+def test_splitting_tree_deals_every_copy_once(spark):
+    """Quotas add up, shards are equal but for rounding, draws of a source are disjoint, and sources spread by chance."""
+    rows = [(f"s{s}", b, 1 + (s + b) % 3) for s in range(5) for b in range(40 * (s + 1))]
+    copies = spark.createDataFrame(rows, "source string, block int, copies int")
+    counts = {}
+    for seed in range(3):
+        dealt = mixing._deal(copies, 6, seed).collect()
+        assert sorted((r["source"], r["block"], len(r["shards"])) for r in dealt) == sorted(rows)
+        total = Counter(x for r in dealt for x in r["shards"])
+        assert sum(total.values()) == sum(r[2] for r in rows) and max(total.values()) - min(total.values()) <= 3
+        for r in dealt:
+            for x in r["shards"]:
+                counts[seed, r["source"], x] = counts.get((seed, r["source"], x), 0) + 1
+    for s in range(5):
+        n = sum(c for name, _, c in rows if name == f"s{s}")
+        share = [counts.get((seed, f"s{s}", x), 0) for seed in range(3) for x in range(6)]
+        assert all(abs(v - n / 6) < 4.5 * math.sqrt(n * 5 / 36) for v in share) and len(set(share)) > 1
+
+
 def test_sharding_weights(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     count = {r["shard"]: r["count"] for r in sharding.rendezvous_shards(df, [1.0, 3.0, 0.0]).groupBy("shard").count().collect()}

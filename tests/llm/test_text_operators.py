@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from rayline.llm import bpe, language_id, pii, quality, token_file
 from rayline.llm.elias_fano import EliasFano
@@ -130,6 +131,8 @@ def test_quality_ledger_policies_and_ablations(spark):
     assert not out[8]["kept"] and not out[8]["base_failed"] and out[8]["rule_bits"] & quality.mask("symbols")
     assert out[9]["base_failed"] and out[2]["n_words"] in (0, 3) and out[None]["rule_bits"] == quality.mask("few_words")
     book = quality.ledger(odd_table(spark, rows))
+    versions = book.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(99))).alias("v"), "rule_bits").select("doc_id", "v", "rule_bits", quality.failed(F.col("v")).alias("failed")).collect()
+    assert all(r["failed"] == (bool(r["rule_bits"] & quality.POLICIES[r["v"]]) if r["v"] < 99 else None) for r in versions)
     cut = {r["rule"]: r for r in quality.ablations(book).collect()}
     bits = [r["rule_bits"] for r in book.collect()]
     for i, rule in enumerate(quality.RULES):
