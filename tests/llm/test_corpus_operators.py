@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rayline.llm import exact_dedup, mixing, ngram_join, sharding, warc
+from rayline.llm import components as component_module, exact_dedup, mixing, ngram_join, sharding, warc
 from rayline.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,7 +148,7 @@ def test_overlap_product():
     assert ngram_join.overlaps(sets).tolist() == want
 
 
-def test_connected_components(spark):
+def test_connected_components(spark, monkeypatch):
     random.seed(6)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (1, 2), (2, 1)]
     label = {x: x for e in edges for x in e}
@@ -158,6 +158,9 @@ def test_connected_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: label[x] for x in linked}
+    monkeypatch.setattr(component_module, "BROADCAST_ROWS", 0)  # as with many edges and hubs
+    monkeypatch.setattr(component_module, "HUB_EDGES", 3)
+    assert got == {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
