@@ -2,8 +2,10 @@
 
     python -m rayline.cli detect [PREVIOUS CURRENT] --tables DIR
     python -m rayline.cli evaluate [CASES] [RESULTS] --tables DIR [--images DIR]
+    python -m rayline.cli fetch [CASES] --tables DIR --settings FILE
 
-The tables are parquet folders tiles, snaps and places (see rayline.schema).
+The tables are parquet folders tiles, snaps and places (see rayline.schema); fetch asks the live services for what they
+lack.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from .sinks.overlay import overlays, save_overlays
 from .sinks.log import log_outcomes, log_skipped, to_console
 from .sinks.results import report_lines, write_results
 from .sources.cases import bad_lines, read_cases, single_pair
+from .sources.live import fill_tables
 
 CASES, RESULTS = "cases.csv", "results/evaluation-results.csv"
 
@@ -31,7 +34,7 @@ def tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="rayline", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("action", choices=["detect", "evaluate"])
+    parser.add_argument("action", choices=["detect", "evaluate", "fetch"])
     parser.add_argument("args", nargs="*")
     parser.add_argument("--tables", required=True)
     parser.add_argument("--settings")
@@ -46,6 +49,9 @@ def act(o: argparse.Namespace, spark: SparkSession) -> int:
     """What the arguments ask for; the exit status."""
     settings = load(o.settings) if o.settings else Settings()
     try:
+        if o.action == "fetch":
+            fill_tables(spark, read_cases(spark, (o.args or [CASES])[0]), o.tables, settings)
+            return 0
         lookups = tables(spark, o.tables)
         if o.action == "detect":
             found = detect(single_pair(spark, o.args), *lookups, settings)

@@ -7,6 +7,7 @@ import json
 import math
 import struct
 import threading
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from rayline.operators.evaluate import WRONG, evaluated, outcome_label, summary,
 from rayline.operators.lookup import resolve_names, still_missing
 from rayline.operators.pairing import paired_fixes
 from rayline.sinks import log as sink_log, overlay, results as sink
-from rayline.sources import cases, images, services
+from rayline.sources import cases, images, live, services
 from rayline.streaming.fixes import outcome_windows, paired_stream
 
 LINES = [
@@ -327,6 +328,49 @@ def test_log(spark, tmp_path, service, caplog):
         assert [(r.levelname, r.getMessage()) for r in caplog.records] == [("INFO", "case 1 passed: expected a, detected a"), ("INFO", "case 2 missed: expected a, detected b / c"), ("WARNING", "case 3 failed: timeout")]
 
 
+def test_live_run(spark, world, tmp_path):
+    """From services to an evaluated case: a raster, its points' snaps and their places, each asked once."""
+    pixels = np.zeros((400, 400, 3), np.uint8)
+    pixels[:, 290:300] = (0, 255, 0)
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urllib.parse.urlparse(self.path)
+            query = urllib.parse.parse_qs(url.query)
+            asked.append(url.path)
+            bodies = {
+                "/map": lambda: images.encode_png(pixels) if query["center"] != ["36.0,22.0"] else b"<html>",
+                "/snap": lambda: json.dumps({"snappedPoints": [{"originalIndex": 0, "placeId": "id"}]}).encode(),
+                "/place": lambda: json.dumps({"results": [{"address_components": [{"long_name": "Kosmas", "types": ["route"]}]}]}).encode(),
+            }
+            gone = query.get("center") == ["35.0,22.001"]
+            self.send_response(404 if gone else 200)
+            self.end_headers()
+            self.wfile.write(b"" if gone else bodies[url.path]())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        s = config.Settings(api_key="k", batch_delay_ms=0, retry_delay_ms=0)
+        pairs = cases.read_cases(spark, str(world / "cases.csv"))
+        urls = tuple(f"{base}/{x}" for x in ("map", "snap", "place"))
+        added = live.fill_tables(spark, pairs, str(tmp_path), s, urls)
+        assert added == {"tiles": 3, "snaps": asked.count("/snap"), "places": 1} and asked.count("/map") == 4 and added["snaps"] >= 2
+        before = len(asked)
+        assert live.fill_tables(spark, pairs, str(tmp_path), s, urls) == {"tiles": 0, "snaps": 0, "places": 0}
+        assert len(asked) == before + 1  # the one that failed
+        rows = {r["row_number"]: r for r in evaluated(d.detect(pairs, *cli.tables(spark, str(tmp_path)), s)).collect()}
+        assert [rows[i]["outcome"] for i in (1, 2, 3, 4)] == ["PASS", "FAIL", "ERROR", "ERROR"]
+        assert rows[4]["error_message"] == scan.BROKEN and rows[3]["error_message"] == scan.MISSING
+    finally:
+        server.shutdown()
+
+
 def test_paired_stream(spark, tmp_path):
     import datetime as dt
 
