@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, functions as F
 
-from .geo import pixel_metres, screen_radians
+from .geo import screen_radians
 from .text import let
 
 SKIP, STEP, METRES_PER_PIXEL = 50, 1.0, 0.265
@@ -36,8 +36,9 @@ def most_steps(width: int, height: int, skip: int = SKIP, step: float = STEP) ->
 def scan_mask(angle: Column, road: Callable[[Column, Column], Column], width: int, height: int, skip: int = SKIP, step: float = STEP, metres_per_pixel: float = METRES_PER_PIXEL) -> Column:
     """Metres to the first road pixel on a ray from the centre, or null.
 
-    `road` takes integer pixel coordinates.  Sample k lies at skip + k * step pixels; the pixel is its floor, guarded
-    against the last bit.  A ray ends where it leaves the image, so later samples do not count.
+    `road` takes integer pixel coordinates.  Sample k lies at skip + k * step pixels, which is its distance, so that hits
+    at the same sample of two rays are equal; the pixel is its floor, guarded against the last bit.  A ray ends where it
+    leaves the image, so later samples do not count.
     """
     if step <= 0:
         raise ValueError("step must be positive")
@@ -53,8 +54,7 @@ def scan_mask(angle: Column, road: Callable[[Column, Column], Column], width: in
 
         # Samples are looked at in stretches that grow; those after the first hit are left alone.
         first = F.coalesce(*[F.get(F.filter(F.sequence(F.lit(lo), F.lit(hi)), hit), F.lit(0)) for lo, hi in stretches(last)])
-        reach = F.lit(float(skip)) + first * F.lit(float(step))
-        return pixel_metres(reach * dx, reach * dy, metres_per_pixel)
+        return (F.lit(float(skip)) + first * F.lit(float(step))) * F.lit(metres_per_pixel)
 
     a = screen_radians(angle)
     return let(F.struct(F.cos(a).alias("dx"), F.sin(a).alias("dy")), along)
@@ -83,7 +83,7 @@ def first_hits(pixels: np.ndarray, angles: np.ndarray, skip: int = SKIP, step: f
     a = np.radians((np.asarray(angles, float) + 270.0) % 360.0)
     cx, cy, dx, dy = width / 2.0, height / 2.0, np.cos(a), np.sin(a)
     x, y = cx + skip * dx, cy + skip * dy
-    rays = np.flatnonzero((x >= 0) & (x < width) & (y >= 0) & (y < height))
+    rays, done = np.flatnonzero((x >= 0) & (x < width) & (y >= 0) & (y < height)), 0
     while len(rays):
         for some in np.array_split(rays, -(-len(rays) // RAYS_AT_ONCE)):
             xs, ys = (np.cumsum(np.concatenate([v[some, None], np.repeat(step * d[some, None], SAMPLES, axis=1)], axis=1), axis=1) for v, d in ((x, dx), (y, dy)))
@@ -94,8 +94,8 @@ def first_hits(pixels: np.ndarray, angles: np.ndarray, skip: int = SKIP, step: f
             road = within & (found[:, :, 1] > 200) & (found[:, :, 2] < 50) & (found[:, :, 0] < 50)
             at = road.argmax(axis=1)
             hit = road[np.arange(len(some)), at]
-            px, py = xs[hit, at[hit]], ys[hit, at[hit]]
-            out[some[hit]] = np.hypot(px - cx, py - cy) * metres_per_pixel
+            out[some[hit]] = (skip + (done + at[hit]) * step) * metres_per_pixel
+        done += SAMPLES
         rays = rays[np.isnan(out[rays]) & (x[rays] >= 0) & (x[rays] < width) & (y[rays] >= 0) & (y[rays] < height)]
     return out
 

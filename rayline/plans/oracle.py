@@ -29,7 +29,7 @@ def ray(rows: str, key: str, angle: str, size: int = 160, skip: int = 50, one_in
     """(key, metres) of the first hit on a mask for each row of `rows`; rays without a hit are left out."""
     a = f"radians((({angle}) + 270.0::DOUBLE) % 360.0::DOUBLE)"
     return f"""
-  SELECT {key}, sqrt(({skip} + k) * cx * (({skip} + k) * cx) + ({skip} + k) * sx * (({skip} + k) * sx)) * 0.265::DOUBLE AS metres FROM (
+  SELECT {key}, ({skip} + k)::DOUBLE * 0.265::DOUBLE AS metres FROM (
     SELECT {key}, cx, sx, min(k) AS k FROM (
       SELECT {key}, cx, sx, k, {size / 2}::DOUBLE + ({skip} + k) * cx AS x, {size / 2}::DOUBLE + ({skip} + k) * sx AS y
       FROM (SELECT {key}, cos({a}) AS cx, sin({a}) AS sx FROM {rows}) r, unnest(range(0, {steps})) AS u(k)) s
