@@ -71,24 +71,25 @@ def raster_pixel_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", rays.is_road(F.col("r"), F.col("g"), F.col("b")).alias("road"), rays.inside(F.col("r") - 5, F.col("b") - 5, 50, 40).alias("inside"))
 
 
-def _detected(spark: SparkSession, sf_dir: str, mask: t.Mask) -> DataFrame:
-    """Both rays of each pair on a procedural mask, and what follows from them."""
-    scan = lambda side: mask.metres(F.col(f"angles.{side}")).alias(side)
-    rows = d.with_targets(d.with_angles(t.pairs(spark, sf_dir)).withColumn("hits", F.struct(scan("left"), scan("right"))))
+def _choices(hits: DataFrame) -> DataFrame:
+    """What follows from the hits of both rays of each pair."""
     r = lambda c, n=6: F.round(c, n)
-    return rows.select(
+    return d.with_targets(hits).select(
         "event_id", r("chosen.distance").alias("distance"), r("chosen.angle").alias("angle"), r("chosen.alt_distance").alias("alt_distance"),
         r("chosen.alt_angle").alias("alt_angle"), r("target.lat", 7).alias("target_lat"), r("target.lon", 7).alias("target_lon"),
     )
 
 
 def detect_primary_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(spark, sf_dir, t.SMALL)
+    """Both rays of each pair on a procedural mask, as expressions."""
+    scan = lambda side: t.SMALL.metres(F.col(f"angles.{side}")).alias(side)
+    return _choices(d.with_angles(t.pairs(spark, sf_dir)).withColumn("hits", F.struct(scan("left"), scan("right"))))
 
 
 def detect_full_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on a raster of production size."""
-    return _detected(spark, sf_dir, t.FULL)
+    """Both rays of each pair over the bytes of a raster of production size."""
+    pairs, left, right = d.with_angles(t.pairs(spark, sf_dir)), F.col("angles.left"), F.col("angles.right")
+    return _choices(scan_rays(pairs, t.one_tile(spark, t.FULL), F.lit("mask"), left, right, Settings(skip_pixels=t.FULL.skip)))
 
 
 def _lookups(spark: SparkSession, sf_dir: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,13 +97,14 @@ def _lookups(spark: SparkSession, sf_dir: str, found: DataFrame) -> tuple[DataFr
     e = F.col("event_id")
     key = lambda p: F.when(F.col(f"{p}.lat").isNotNull(), text.coordinate_text(F.col(f"{p}.lat"), F.col(f"{p}.lon")))
     body = lambda prefix: F.concat(F.lit(f'{{"snappedPoints":[{{"originalIndex":0,"placeId":"{prefix}'), (e % 11).cast("string"), F.lit('"}]}'))
-    main = found.where("found and event_id % 5 <> 0").select(key("target").alias("point_key"), body("p").alias("body"))
-    other = found.where("event_id % 4 <> 0").select(key("alt_point").alias("point_key"), body("q").alias("body")).where("point_key is not null")
+    answer = lambda on, point, prefix: F.when(on, F.struct(key(point).alias("point_key"), body(prefix).alias("body")))
+    both = F.array(answer(F.col("found") & (e % 5 != 0), "target", "p"), answer(F.col("alt_point").isNotNull() & (e % 4 != 0), "alt_point", "q"))
+    snaps = found.select(F.explode(F.array_compact(both)).alias("s")).select("s.*")
     place = F.concat("prefix", F.col("id").cast("string"))
     named = _place_body(F.concat(F.lit("Road "), place), F.when(F.col("id") == 9, 2).otherwise(1))
     unnamed = F.lit('{"results":[{"address_components":[{"types":["route"]}]}]}')
-    both = spark.range(11).withColumn("prefix", F.explode(F.array(F.lit("p"), F.lit("q"))))
-    return main.union(other), both.select(place.alias("place_id"), F.when(F.col("id") == 7, unnamed).otherwise(named).alias("body"))
+    places = spark.range(11).withColumn("prefix", F.explode(F.array(F.lit("p"), F.lit("q"))))
+    return snaps, places.select(place.alias("place_id"), F.when(F.col("id") == 7, unnamed).otherwise(named).alias("body"))
 
 
 def detect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
