@@ -8,11 +8,11 @@ of the matrix with its transpose holds the overlap of each pair; most of it is n
   enough of its leading columns occur in another row too; the bound follows from its size alone.
 * Surviving rows are cut into families, connected by shared leading columns; the most frequent of a row's columns may
   be left out here, by the same count.  Rows of different families have no product worth forming.
-* A family is multiplied in blocks of bounded size.  A large one is cut by size class and hash into parts.  First each
-  part is multiplied with itself and with the first part of its class, which settles groups of alike rows at a cost in
-  proportion to them: rows of the family's largest group need no product with each other any more.  Then two parts are
-  multiplied if their size classes can reach the threshold, and each sends the other only those rows that share one
-  of the columns that made the family with an open row there.
+* A family is multiplied in blocks of bounded size.  A larger one is cut by size class and hash into parts, and two
+  parts are multiplied if their size classes can reach the threshold.  Where there are many parts, this has two steps.
+  First each part is multiplied with itself and with the first part of its class, which settles groups of alike rows at
+  a cost in proportion to them: rows of the family's largest group need no product with each other any more.  Then each
+  part sends another only those rows that share one of the columns that made the family with an open row there.
 * A block's overlaps are accumulated column by column, pairs below the bound given by their sizes are discarded, and
   what leaves the task is a spanning star of each linked group, never the pairs.
 
@@ -37,7 +37,9 @@ SPARE = 10
 #: Known words a worker remembers before it starts again.
 WORDS_KEPT = 400_000
 #: Bounds of one side of a block: rows, and entries of these rows.
-BLOCK_ROWS, BLOCK_ENTRIES = 256, 1_000_000
+BLOCK_ROWS, BLOCK_ENTRIES = 1024, 2_000_000
+#: A family of more parts than this is multiplied in two steps.
+MANY_PARTS = 8
 #: A digest of more rows than this is never joined by a shuffle.
 HOT_ROWS = 100_000
 #: A column met by more rows of a block than this is multiplied densely.
@@ -226,16 +228,30 @@ def _part(size_class: Column, number: Column) -> Column:
 
 
 def _placed(members: DataFrame, law: Law) -> DataFrame:
-    """(node, family, class, parts, me): members of families beyond the bounds, cut by size class and hash.
+    """(node, family, class, parts, me, all): members of families beyond the bounds, cut by size class and hash.
 
-    Classes are as wide as the threshold, so only rows of the same or of neighbouring ones can link.
+    Classes are as wide as the threshold, so only rows of the same or of neighbouring ones can link.  `all` lists the
+    family's parts as (class, me).
     """
     wide = math.log(law.den / law.num) * (1 + 1e-6)  # a little wider, so that rounding can't part a pair by two classes
     members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide)).cast("long"))
     per_class = members.groupBy("family", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
     per_class = per_class.select("family", "class", _parts("rows", "entries").alias("parts"))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(F.col("class").alias("class"), _part(F.col("class"), i).alias("me")))
+    per_family = per_class.groupBy("family").agg(F.flatten(F.collect_list(each)).alias("all"))
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    return members.join(per_class, ["family", "class"]).select("node", "family", "class", "parts", _part(F.col("class"), own).alias("me"))
+    placed = members.join(per_class.join(per_family, "family"), ["family", "class"])
+    return placed.select("node", "family", "class", "parts", _part(F.col("class"), own).alias("me"), "all")
+
+
+def _near(p: Column) -> Column:
+    """Whether rows of a row's part and of part `p` may link."""
+    return F.abs(F.col("class") - p["class"]) <= 1
+
+
+def _sided(sent: DataFrame) -> DataFrame:
+    """Blocks of rows (node, family, me) that are sent to the part `other`."""
+    return sent.select("node", "family", F.least("me", "other").alias("left"), F.greatest("me", "other").alias("right"), (F.col("me") > F.col("other")).cast("int").alias("side"))
 
 
 def _first_blocks(placed: DataFrame) -> DataFrame:
@@ -243,52 +259,62 @@ def _first_blocks(placed: DataFrame) -> DataFrame:
     own = placed.select("node", "family", F.col("me").alias("left"), F.col("me").alias("right"), F.lit(0).alias("side"))
     lead = _part(F.col("class"), F.lit(0).cast("long"))
     later = placed.where(F.col("me") != lead).select("node", "family", lead.alias("left"), F.col("me").alias("right"), F.lit(1).alias("side"))
-    leads = placed.where((F.col("me") == lead) & (F.col("parts") > 1))
-    numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts") - 1))
-    first = leads.withColumn("number", numbers).select("node", "family", F.col("me").alias("left"), _part(F.col("class"), F.col("number")).alias("right"), F.lit(0).alias("side"))
-    beside = placed.where(F.col("me") == lead)
-    up = beside.select("node", "family", F.col("me").alias("left"), _part(F.col("class") + 1, F.lit(0).cast("long")).alias("right"), F.lit(0).alias("side"))
-    down = beside.select("node", "family", _part(F.col("class") - 1, F.lit(0).cast("long")).alias("left"), F.col("me").alias("right"), F.lit(1).alias("side"))
-    return own.union(later).union(first).union(up).union(down)
+    first = lambda p: p["me"] == _part(p["class"], F.lit(0).cast("long"))
+    wanted = lambda p: (p["me"] != F.col("me")) & _near(p) & ((p["class"] == F.col("class")) | first(p))
+    leads = placed.where(F.col("me") == lead).select("node", "family", "me", F.explode(F.filter("all", wanted)["me"]).alias("other"))
+    return own.union(later).union(_sided(leads))
 
 
 def _open_blocks(placed: DataFrame, groups: DataFrame, columns: DataFrame) -> DataFrame:
     """The other products: blocks of rows that share one of `columns` with a row of another part.
 
     Rows of a family's largest group so far are settled among themselves, so they are only sent to parts in which
-    such a row is open.  A family of one group has no open row.
+    a row is open.  A family of one group has no open row.  A row with a column that is met in most parts is sent to
+    all; others go where their columns are met with an open row.
     """
     labelled = placed.join(groups.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("rows"))
     largest = sizes.groupBy("family").agg(F.max(F.struct("rows", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    rows = labelled.join(largest, "family").select("node", "family", "class", "me", (F.col("label") != F.col("most")).alias("open"))
-    entries = checkpointed(columns.join(rows, "node").select("family", "h", "node", "class", "me", "open"))
-    met = entries.groupBy("family", "h", "class", "me").agg(F.max("open").alias("open"))
-    # The parts that a column is met in; a column met in one part only, or by settled rows only, makes no block.
-    where = met.groupBy("family", "h").agg(F.collect_list(F.struct("class", "me", "open")).alias("parts")).where((F.size("parts") > 1) & F.exists("parts", lambda p: p["open"]))
+    is_open = F.col("label") != F.col("most")
+    rows = checkpointed(labelled.join(largest, "family").select("node", "family", "class", "me", "all", is_open.alias("open")))
+    opened = rows.where("open").groupBy("family").agg(F.collect_set("me").alias("opened"))  # parts
+    entries = checkpointed(columns.join(rows.select("node", "family", "class", "me", "open", F.size("all").alias("parts")), "node").select("family", "h", "node", "class", "me", "open", "parts"))
+    met = entries.groupBy("family", "h", "class", "me").agg(F.max("open").alias("open"), F.first("parts").alias("parts"))
+    where = met.groupBy("family", "h").agg(F.collect_list(F.struct("class", "me", "open")).alias("met"), (2 * F.count("*") > F.first("parts")).alias("most"))
+    # A column met in one part only, or by settled rows only, makes no block.
+    where = where.where((F.size("met") > 1) & F.exists("met", lambda p: p["open"])).select("family", "h", F.when(~F.col("most"), F.col("met")).alias("met"))
     lead = lambda c: _part(c, F.lit(0).cast("long"))
 
     def other(p: Column) -> Column:
         mine, its = F.col("me") == lead(F.col("class")), p["me"] == lead(p["class"])
         done = F.when(F.col("class") == p["class"], mine | its).otherwise(mine & its)  # what _first_blocks() has
-        return (F.abs(F.col("class") - p["class"]) <= 1) & (F.col("me") != p["me"]) & (F.col("open") | p["open"]) & ~done
+        return _near(p) & (F.col("me") != p["me"]) & ~done
 
-    sent = entries.join(gated(checkpointed(where)), ["family", "h"]).select("node", "family", "me", F.explode(F.filter("parts", other)["me"]).alias("other")).distinct()
-    return sent.select("node", "family", F.least("me", "other").alias("left"), F.greatest("me", "other").alias("right"), (F.col("me") > F.col("other")).cast("int").alias("side"))
+    some = F.filter("met", lambda p: other(p) & (F.col("open") | p["open"]))["me"]
+    targets = F.when(F.col("met").isNull(), F.array(F.lit(None).cast("long"))).otherwise(some)
+    sent = checkpointed(entries.join(gated(checkpointed(where)), ["family", "h"]).select("node", "family", "me", F.explode(targets).alias("other")).distinct())
+    wide = sent.where("other is null").select("node")
+    everywhere = rows.join(wide, "node").join(opened, "family").select("node", "family", "me", F.explode(F.filter("all", lambda p: other(p) & (F.col("open") | F.array_contains("opened", p["me"])))["me"]).alias("other"))
+    narrow = sent.where("other is not null").join(wide, "node", "left_anti").select("node", "family", "me", "other")
+    return _sided(narrow.union(everywhere))
 
 
 def _groups(members: DataFrame, columns: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     """(node, label) of the linked members; `members` has node, n and family, `columns` node and h, `sets` node and cols."""
+    whole = lambda df: df.select("node", "family", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).alias("side"))
     per_family = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
     large = checkpointed(per_family.where(_parts("rows", "entries") > 1).select("family"))
     if not large.head(1):
-        one = members.select("node", "family", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).alias("side"))
-        return components(_multiplied(sets, one, law))
+        return components(_multiplied(sets, whole(members), law))
     large = gated(large)
-    one = members.join(large, "family", "left_anti").select("node", "family", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).alias("side"))
     placed = checkpointed(_placed(members.join(large, "family", "left_semi"), law))
-    edges = checkpointed(_multiplied(sets, one.union(_first_blocks(placed)), law))
-    more = checkpointed(_open_blocks(placed, components(edges), columns))
+    few = placed.where(F.size("all") <= MANY_PARTS).select("node", "family", "me", F.explode(F.filter("all", _near)["me"]).alias("other"))
+    blocks = whole(members.join(large, "family", "left_anti")).union(_sided(few))
+    many = placed.where(F.size("all") > MANY_PARTS)
+    if not many.head(1):
+        return components(_multiplied(sets, blocks, law))
+    edges = checkpointed(_multiplied(sets, blocks.union(_first_blocks(many)), law))
+    more = checkpointed(_open_blocks(many, components(edges), columns))
     return components(edges.union(_multiplied(sets, more, law)) if more.head(1) else edges)
 
 

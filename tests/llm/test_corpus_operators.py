@@ -84,9 +84,11 @@ def test_jaccard_components_in_many_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85, 100)
 
 
-def test_jaccard_of_a_long_chain_and_a_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("many", [1, 1000])
+def test_jaccard_of_a_long_chain_and_a_large_group(spark, monkeypatch, many):
     """Families of many parts: texts that overlap their neighbours too little to link, and a group of alike texts."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "MANY_PARTS", many)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
     random.seed(12)
