@@ -6,6 +6,7 @@ import math
 import os
 from collections.abc import Iterator
 from functools import cache
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -142,11 +143,21 @@ def overlays(results: DataFrame, tiles: DataFrame, metres_per_pixel: float = 0.2
 
 
 def save_overlays(images: DataFrame, folder: str) -> int:
-    """Write each image as a file under a folder the driver sees, one at a time; their number."""
+    """Write each image as a file into a folder that driver and executors share; their number.
+
+    Tasks write their own files, and each appears whole or not at all.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for name, png in zip(b["file_name"], b["png"], strict=True):
+                part = os.path.join(folder, f".{name}.{uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(png)
+                os.replace(part, os.path.join(folder, name))
+            yield pd.DataFrame({"files": [len(b)]})
+
     os.makedirs(folder, exist_ok=True)
-    count = 0
-    for row in images.toLocalIterator():
-        with open(os.path.join(folder, row["file_name"]), "wb") as f:
-            f.write(row["png"])
-        count += 1
-    return count
+    written = images.select("file_name", "png").mapInPandas(run, "files long")
+    return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
