@@ -80,7 +80,12 @@ def fill_placeholders(values: Mapping[str, str], env: Mapping[str, str]) -> dict
 def load(path: str, env: Mapping[str, str] | None = None) -> Settings:
     """Settings from a properties file; FileNotFoundError if there is none, ValueError for a bad number."""
     with open(path, encoding="utf-8") as f:
-        values = fill_placeholders(parse_properties(f.read()), os.environ if env is None else env)
+        return settings_of(f.read(), os.environ if env is None else env)
+
+
+def settings_of(text: str, env: Mapping[str, str]) -> Settings:
+    """Settings from properties text; what it does not name has its default."""
+    values = fill_placeholders(parse_properties(text), env)
     kinds = {f: type(getattr(Settings, f)) for f in KEYS}
     return Settings(**{f: kinds[f](values[k]) for f, k in KEYS.items() if k in values})
 

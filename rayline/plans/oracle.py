@@ -116,6 +116,15 @@ TALLIES = """count(*) AS total, count(*) FILTER (outcome = 'PASS') AS passed, co
   count(*) FILTER (outcome = 'PASS' AND alternative_used) AS passed_alternative, count(*) FILTER (outcome = 'FAIL') AS failed,
   count(*) FILTER (outcome = 'ERROR') AS errors, round(count(*) FILTER (outcome = 'PASS') * 100.0::DOUBLE / count(*), 6) AS success_rate"""
 
+CASE_LINES = """
+labelled AS (SELECT *, rpad(CASE WHEN outcome = 'PASS' AND alternative_used THEN 'PASS (alt)' ELSE outcome END, 15, ' ') AS label FROM evaluated),
+l AS (SELECT row_number, '  #' || CASE WHEN row_number < 1000 THEN lpad(row_number::VARCHAR, 3, '0') ELSE row_number::VARCHAR END || ' | ' || label || ' | Target: '
+  || CASE WHEN length(target_road) < 25 THEN rpad(target_road, 25, ' ') ELSE target_road END || ' | Got: ' || detected_road AS line, label FROM labelled)"""
+
+#: The counted lines of the summary, from the fourth on.
+COUNTS = (("PASS (direct):", "passed_direct"), ("PASS (alternative):", "passed_alternative"), ("PASS (total):", "passed"), ("FAIL:", "failed"), ("ERROR:", "errors"))
+COUNT_ROWS = ", ".join(f"{{'i': {i}, 'label': '{label}', 'n': {name}}}" for i, (label, name) in enumerate(COUNTS, 4))
+
 COORD = """(CASE event_id % 6 WHEN 0 THEN (37 + event_id % 5) || ', 23.' || (event_id % 1000) WHEN 1 THEN ' ' || (37 + event_id % 5) || ' ,23.' || (event_id % 1000) || ','
   WHEN 2 THEN (37 + event_id % 5) || ',23.' || (event_id % 1000) || ',5' WHEN 3 THEN (37 + event_id % 5)::VARCHAR
   WHEN 4 THEN 'x' || (37 + event_id % 5) || ',23.' || (event_id % 1000) ELSE '' END)"""
@@ -189,10 +198,7 @@ SELECT k.point_key, s.place_id, n.road_name FROM k LEFT JOIN s USING (point_key)
     "evaluate_outcome": f"WITH {SCORED} SELECT row_number, outcome, detected_road, iterations, alternative_used, error_message, primary_is_current_road FROM evaluated",
     "report_summary": f"WITH {SCORED} SELECT {TALLIES} FROM evaluated",
     "report_by_group": f"WITH {SCORED} SELECT city, outcome, {TALLIES} FROM evaluated GROUP BY ROLLUP (city, outcome)",
-    "report_case_lines": f"""
-WITH {SCORED}, l AS (SELECT *, rpad(CASE WHEN outcome = 'PASS' AND alternative_used THEN 'PASS (alt)' ELSE outcome END, 15, ' ') AS label FROM evaluated)
-SELECT row_number, '  #' || CASE WHEN row_number < 1000 THEN lpad(row_number::VARCHAR, 3, '0') ELSE row_number::VARCHAR END || ' | ' || label || ' | Target: ' || CASE WHEN length(target_road) < 25 THEN rpad(target_road, 25, ' ') ELSE target_road END
-  || ' | Got: ' || detected_road AS line, label FROM l""",
+    "report_case_lines": f"WITH {SCORED}, {CASE_LINES} SELECT row_number, line, label FROM l",
     "coord_parse": f"""
 WITH c AS (SELECT event_id, {coord_parts(COORD)} AS q FROM events),
 v AS (SELECT event_id, len(q) = 2 AND try_cast(trim(q[1]) AS DOUBLE) IS NOT NULL AND try_cast(trim(q[2]) AS DOUBLE) IS NOT NULL AS ok, q FROM c)
@@ -226,4 +232,36 @@ c AS (SELECT event_id, row_number() OVER (ORDER BY event_id)::INT AS row_number,
 v AS (SELECT *, len(q) = 2 AND try_cast(trim(q[1]) AS DOUBLE) IS NOT NULL AND try_cast(trim(q[2]) AS DOUBLE) IS NOT NULL AS ok FROM c)
 SELECT row_number, 'road ' || event_id AS current_road, 'Target' AS target_road, 'Athens' AS city, CASE WHEN ok THEN trim(q[1])::DOUBLE END AS prev_lat,
   CASE WHEN NOT ok THEN 'bad previous coordinates' END AS reason FROM v""",
+    "overlay_layers": """
+SELECT p_partkey, '255,0,0' AS centre, '255,0,0' AS cross_end, '255,220,0' AS main, '0,255,255' AS other, '255,220,0' AS ring, '25,25,25' AS box,
+  '100,100,100' AS plain, true AS arrow_reaches FROM part""",
+    "png_decode": """
+WITH s AS (SELECT event_id, event_id % 10 = 0 AS bad, (4 + event_id % 9)::INT AS w, (5 + event_id % 7)::INT AS h FROM events),
+p AS (
+  SELECT event_id, sum((x * 3 + event_id) % 256)::BIGINT AS red, sum((y * 5 + x) % 256)::BIGINT AS green, sum(x * y % 256)::BIGINT AS blue
+  FROM s, unnest(range(0, 12)) AS a(x), unnest(range(0, 11)) AS b(y) WHERE NOT bad AND x < w AND y < h GROUP BY event_id)
+SELECT s.event_id, CASE WHEN bad THEN -1 ELSE w END AS width, CASE WHEN bad THEN -1 ELSE h END AS height, CASE WHEN bad THEN -1 ELSE 3 END AS channels,
+  coalesce(red, 0)::BIGINT AS red, coalesce(green, 0)::BIGINT AS green, coalesce(blue, 0)::BIGINT AS blue FROM s LEFT JOIN p USING (event_id)""",
+    "report_text": f"""
+WITH {SCORED}, {CASE_LINES}, t AS (SELECT {TALLIES} FROM evaluated),
+n AS (SELECT unnest([{COUNT_ROWS}]) AS c, total FROM t)
+SELECT -4 + i AS position, x AS line FROM (SELECT unnest(['', repeat('=', 90), '  EVALUATION RESULTS', repeat('=', 90)]) AS x, unnest(range(0, 4)) AS i)
+UNION ALL SELECT row_number::BIGINT, line FROM l
+UNION ALL SELECT 1099511627776 + i, x FROM (SELECT unnest(['', repeat('=', 90), '  SUMMARY', repeat('=', 90)]) AS x, unnest(range(0, 4)) AS i)
+UNION ALL SELECT 1099511627776 + c.i, '  ' || rpad(c.label, 20, ' ') || ' ' || c.n || '/' || total FROM n
+UNION ALL SELECT 1099511627785, '  Success rate:        ' || printf('%.1f', success_rate) || '%' FROM t
+UNION ALL SELECT 1099511627786, repeat('=', 90)""",
+    "default_pair": f"""
+WITH p AS (SELECT 37.988988::DOUBLE AS lat, 23.741867::DOUBLE AS lon, 37.988891::DOUBLE AS plat, 23.741949::DOUBLE AS plon),
+r AS (SELECT *, degrees(atan2(sin(radians(lon) - radians(plon)) * cos(radians(lat)),
+    cos(radians(plat)) * sin(radians(lat)) - sin(radians(plat)) * cos(radians(lat)) * cos(radians(lon) - radians(plon)))) AS raw FROM p),
+b AS (SELECT *, {norm('raw')} AS b FROM r), d AS (SELECT *, 26.5::DOUBLE AS d, {norm('b - 25.0::DOUBLE')} AS a FROM b)
+SELECT round(b, 6) AS bearing, round(a, 6) AS left_angle, round({norm('b + 25.0::DOUBLE')}, 6) AS right_angle, round({_t[0]}, 7) AS lat, round({_t[1]}, 7) AS lon FROM d""",
+    "retry_rules": """
+WITH c AS (SELECT event_id, (400 + event_id % 200)::BIGINT AS code, (1 + event_id % 5)::BIGINT AS attempt FROM events)
+SELECT *, code = 429 OR code >= 500 AS retried, CASE WHEN attempt = 1 THEN 0.0 ELSE 0.5 * 2 ** (attempt - 2) END::DOUBLE AS wait FROM c""",
+    "settings_rows": """
+SELECT * FROM (VALUES ('api_key', 'k1'), ('map_scale', '2'), ('map_zoom', '18'), ('map_size', '500'), ('road_color', '${NONE}'), ('skip_pixels', '40'), ('step_size', '0.5'),
+  ('metres_per_pixel', '0.265'), ('angle_offset', '25.0'), ('connect_timeout_s', '10'), ('read_timeout_s', '10'), ('max_attempts', '3'), ('retry_delay_ms', '1000'),
+  ('batch_delay_ms', '250')) AS v("field", "value")""",
 }

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import Settings
+from ..config import Settings, settings_of
 from ..functions import geo, names, payloads, rays, text
 from ..operators import detect as d
 from ..operators.evaluate import evaluated, outcome_label, summary, summary_by
 from ..operators.lookup import resolve_names, still_missing
 from ..operators.scan import scan_rays
-from ..sinks.overlay import caption_lines, draw
-from ..sinks.results import case_line, csv_line
-from ..sources.cases import case_rows, parsed_line
-from ..sources.images import encode_png
+from ..sinks.overlay import CYAN, YELLOW, caption_lines, draw
+from ..sinks.results import case_line, csv_line, report_frame
+from ..sources.cases import case_rows, parsed_line, single_pair
+from ..sources.images import decoded_tiles, encode_png
+from ..sources.services import delay_before, is_retryable
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,6 +310,83 @@ def overlay_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.select("row_number", lines.alias("caption")).mapInPandas(run, "row_number int, bytes long, sha256 string")
 
 
+def overlay_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours where each layer of an annotated image must show, for a heading and markers that differ by part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for n in b["p_partkey"].tolist():
+                main, other = (30 + n % 40, 40 + n % 30), (330 + n % 20, 60 + n % 50)
+                p = draw(np.full((400, 400, 3), 100, np.uint8), float(n * 37 % 360), [(*main, YELLOW, ""), (*other, CYAN, "")], ["Case"])
+                white = (p[130:271, 130:271] == 255).all(axis=2)
+                reach = max(math.hypot(x - 70, y - 70) for y, x in zip(*np.nonzero(white), strict=True))
+                at = [(200, 200), (214, 200), main, other, (main[0] + 10, main[1]), (177, 363), (10, 390)]
+                out.append((n, *(",".join(map(str, p[y, x].tolist())) for x, y in at), abs(reach - 70) < 2))
+            yield pd.DataFrame(out, columns=["p_partkey", "centre", "cross_end", "main", "other", "ring", "box", "plain", "arrow_reaches"])
+
+    kinds = ", ".join(f"{c} string" for c in ("centre", "cross_end", "main", "other", "ring", "box", "plain"))
+    return t.load(spark, sf_dir, "part").select("p_partkey").mapInPandas(run, f"p_partkey long, {kinds}, arrow_reaches boolean")
+
+
+def png_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched rasters of many sizes as tables of images: their shape and the sum of each colour; some are broken."""
+
+    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bodies = []
+            for e in b["event_id"].tolist():
+                y, x = np.mgrid[0 : 5 + e % 7, 0 : 4 + e % 9]
+                rgb = np.stack([(x * 3 + e) % 256, (y * 5 + x) % 256, x * y % 256], axis=2)
+                bodies.append(b"busy" if e % 10 == 0 else encode_png(rgb))
+            yield pd.DataFrame({"point_key": b["event_id"].astype(str), "body": bodies})
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            colours = [np.frombuffer(x, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64)[::-1].tolist() for x in b["data"]]
+            yield pd.concat([b[["event_id", "width", "height", "channels"]], pd.DataFrame(colours, columns=["red", "green", "blue"])], axis=1)
+
+    bodies = t.load(spark, sf_dir, "events").select("event_id").mapInPandas(fetched, "point_key string, body binary")
+    images = decoded_tiles(bodies).select(F.col("point_key").cast("long").alias("event_id"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+    return images.mapInPandas(sums, "event_id long, width int, height int, channels int, red long, green long, blue long")
+
+
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the report, with its place."""
+    return report_frame(evaluated(t.scored(spark, sf_dir)))
+
+
+def default_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's default pair: direction, search angles and the point ahead on the left ray."""
+    rows = d.with_angles(single_pair(spark, []))
+    cur = F.col("current")
+    ahead = rows.withColumn("p", geo.project(cur["lat"], cur["lon"], F.lit(26.5), F.col("angles.left")))
+    return ahead.select(
+        F.round(_heading(), 6).alias("bearing"), F.round("angles.left", 6).alias("left_angle"), F.round("angles.right", 6).alias("right_angle"),
+        F.round("p.lat", 7).alias("lat"), F.round("p.lon", 7).alias("lon"),
+    )
+
+
+def retry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which answers are asked for again, and the wait before each attempt."""
+    s = Settings(retry_delay_ms=500)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(retried=[is_retryable(c) for c in b["code"]], wait=[delay_before(a, s) for a in b["attempt"]])
+
+    e = F.col("event_id")
+    rows = t.load(spark, sf_dir, "events").select("event_id", (400 + e % 200).alias("code"), (1 + e % 5).alias("attempt"))
+    return rows.mapInPandas(run, "event_id long, code long, attempt long, retried boolean, wait double")
+
+
+def settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings from properties text: comments, both signs, filled and unfilled place-holders, defaults."""
+    text_of = "# a comment\n! another\ngoogle.maps.api.key=${KEY}\nstaticmap.road.color: ${NONE}\nimage.skip.pixels = 40\nimage.step.size=0.5\n\nbatch.delay.ms=250\nunknown=1"
+    found = settings_of(text_of, {"KEY": "k1"})
+    return spark.createDataFrame([(f, str(v)) for f, v in asdict(found).items()], "field string, value string")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -313,6 +394,6 @@ QUERIES: dict[str, Query] = {
         multi_angle_sweep, name_normalize, name_fuzzy_rule, name_primitives, json_snap_place, json_route_name, lookup_road_names,
         lookup_missing_keys, evaluate_outcome, report_summary, report_by_group, report_case_lines, coord_parse, csv_parse_lines,
         csv_format_rows, text_labels, debug_caption, raster_arrow_scan, overlay_png, raster_ray_full, detect_full_raster, raster_arrow_full,
-        detect_tables, case_file_rows,
+        detect_tables, case_file_rows, overlay_layers, png_decode, report_text, default_pair, retry_rules, settings_rows,
     )
 }

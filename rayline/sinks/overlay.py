@@ -72,7 +72,7 @@ class Canvas:
 
     def shade(self, x: int, y: int, w: int, h: int, alpha: int) -> None:
         part = self.p[max(0, y) : max(0, y + h), max(0, x) : max(0, x + w)]
-        part[:] = part * (255 - alpha) // 255
+        part[:] = part.astype(np.uint16) * (255 - alpha) // 255
 
     def text(self, x: int, y: int, text: str, colour: tuple, size: int = 2) -> None:
         if text:

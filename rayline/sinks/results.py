@@ -53,27 +53,41 @@ def case_line(row: Column, outcome: Column, alternative: Column, target: Column,
     return F.format_string("  #%03d | %s | Target: %-25s | Got: %s", row, outcome_label(outcome, alternative), target, detected)
 
 
-def summary_lines(results: DataFrame) -> list[str]:
-    s = summary(results).withColumn("rate", F.format_string("%.1f", "success_rate")).first()
-    count = lambda label, n: f"  {label:<20} {n}/{s['total']}"
+RULE = "=" * 90
+#: Lines before the cases, and where the lines after them begin in order.
+HEAD, TAIL_AT = ("", RULE, "  EVALUATION RESULTS", RULE), 1 << 40
+
+
+def summary_line_columns() -> list[Column]:
+    """The six lines of a row of tallies."""
+    count = lambda label, name: F.format_string("  %-20s %d/%d", F.lit(label), F.col(name), F.col("total"))
     return [
-        count("PASS (direct):", s["passed_direct"]),
-        count("PASS (alternative):", s["passed_alternative"]),
-        count("PASS (total):", s["passed"]),
-        count("FAIL:", s["failed"]),
-        count("ERROR:", s["errors"]),
-        f"  {'Success rate:':<20} {s['rate']}%",
+        count("PASS (direct):", "passed_direct"),
+        count("PASS (alternative):", "passed_alternative"),
+        count("PASS (total):", "passed"),
+        count("FAIL:", "failed"),
+        count("ERROR:", "errors"),
+        F.format_string("  %-20s %.1f%%", F.lit("Success rate:"), F.col("success_rate")),
     ]
 
 
-def report_lines(results: DataFrame) -> Iterator[str]:
-    """The report as a stream: a line per case in order, then the summary; the driver holds one partition at a time."""
-    rule = "=" * 90
-    yield from ("", rule, "  EVALUATION RESULTS", rule)
+def summary_lines(results: DataFrame) -> list[str]:
+    return list(summary(results).select(F.array(*summary_line_columns())).first()[0])
+
+
+def report_frame(results: DataFrame) -> DataFrame:
+    """The report as rows (position, line): a line per case in order, then the summary."""
+    head = results.sparkSession.createDataFrame(list(enumerate(HEAD, -len(HEAD))), "position long, line string")
     line = case_line(F.col("row_number"), F.col("outcome"), F.col("alternative_used"), F.col("target_road"), F.col("detected_road"))
-    for row in results.orderBy("row_number").select(line).toLocalIterator():
-        yield row[0]
-    yield from ("", rule, "  SUMMARY", rule, *summary_lines(results), rule)
+    tail = F.array(F.lit(""), F.lit(RULE), F.lit("  SUMMARY"), F.lit(RULE), *summary_line_columns(), F.lit(RULE))
+    closing = summary(results).select(F.posexplode(tail).alias("i", "line")).select((F.col("i") + TAIL_AT).alias("position"), "line")
+    return head.union(results.select(F.col("row_number").cast("long"), line)).union(closing)
+
+
+def report_lines(results: DataFrame) -> Iterator[str]:
+    """The report as a stream; the driver holds one partition at a time."""
+    for row in report_frame(results).orderBy("position").toLocalIterator():
+        yield row["line"]
 
 
 def report(results: DataFrame) -> str:

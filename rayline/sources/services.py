@@ -44,13 +44,17 @@ def is_retryable(code: int) -> bool:
     return code == 429 or code >= 500
 
 
+def delay_before(attempt: int, s: Settings) -> float:
+    """Seconds to wait before an attempt (the second is the first to wait): twice as long each time."""
+    return s.retry_delay_ms / 1000 * 2 ** (attempt - 2) if attempt > 1 else 0.0
+
+
 def get(url: str, s: Settings, sleep: Callable[[float], None] = time.sleep, retry_all: bool = False) -> bytes:
     """GET with up to max_attempts tries and a delay that doubles.
 
     Refusals that will not change (4xx but 429) fail at once, unless `retry_all` asks for every failure to be tried
     again.
     """
-    delay = s.retry_delay_ms / 1000
     for attempt in range(1, s.max_attempts + 1):
         try:
             with urllib.request.urlopen(url, timeout=max(s.connect_timeout_s, s.read_timeout_s)) as response:
@@ -63,9 +67,9 @@ def get(url: str, s: Settings, sleep: Callable[[float], None] = time.sleep, retr
             wrong = e
             if attempt == s.max_attempts:
                 raise
+        delay = delay_before(attempt + 1, s)
         log.warning("attempt %d of %d failed (%s); the next in %.1f s", attempt, s.max_attempts, wrong, delay)
         sleep(delay)
-        delay *= 2
     raise AssertionError("unreachable")
 
 
