@@ -39,7 +39,7 @@ WORDS_KEPT = 400_000
 #: Bounds of one side of a block: rows, and entries of these rows.
 BLOCK_ROWS, BLOCK_ENTRIES = 1024, 2_000_000
 #: A family of more parts than this is multiplied in two steps.
-MANY_PARTS = 8
+MANY_PARTS = 32
 #: A digest of more rows than this is never joined by a shuffle.
 HOT_ROWS = 100_000
 #: A column met by more rows of a block than this is multiplied densely.
