@@ -227,26 +227,38 @@ def _part(size_class: Column, number: Column) -> Column:
     return size_class * F.lit(1 << 40) + number
 
 
-def _placed(members: DataFrame, law: Law) -> DataFrame:
-    """(node, family, class, parts, me, all): members of families beyond the bounds, cut by size class and hash.
+def _placed(members: DataFrame, law: Law) -> tuple[DataFrame, DataFrame]:
+    """Members (node, family, class, me, total) of families beyond the bounds, cut by size class and hash, and parts (family, c, other).
 
-    Classes are as wide as the threshold, so only rows of the same or of neighbouring ones can link.  `all` lists the
-    family's parts as (class, me).
+    Classes are as wide as the threshold, so only rows of the same or of neighbouring ones can link.  `total` counts
+    the family's parts.  Tables of classes and of parts are broadcast if few, so that the rows of a family do not meet
+    in one task.
     """
     wide = math.log(law.den / law.num) * (1 + 1e-6)  # a little wider, so that rounding can't part a pair by two classes
     members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide)).cast("long"))
     per_class = members.groupBy("family", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
-    per_class = per_class.select("family", "class", _parts("rows", "entries").alias("parts"))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(F.col("class").alias("class"), _part(F.col("class"), i).alias("me")))
-    per_family = per_class.groupBy("family").agg(F.flatten(F.collect_list(each)).alias("all"))
+    per_class = checkpointed(per_class.select("family", "class", _parts("rows", "entries").alias("parts")))
+    total = per_class.groupBy("family").agg(F.sum("parts").alias("total"))
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    placed = members.join(per_class.join(per_family, "family"), ["family", "class"])
-    return placed.select("node", "family", "class", "parts", _part(F.col("class"), own).alias("me"), "all")
+    placed = members.join(gated(checkpointed(per_class.join(total, "family"))), ["family", "class"])
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i")
+    parts = per_class.select("family", F.col("class").alias("c"), numbers).select("family", "c", _part(F.col("c"), F.col("i")).alias("other"))
+    return checkpointed(placed.select("node", "family", "class", _part(F.col("class"), own).alias("me"), "total")), gated(checkpointed(parts))
 
 
-def _near(p: Column) -> Column:
-    """Whether rows of a row's part and of part `p` may link."""
-    return F.abs(F.col("class") - p["class"]) <= 1
+#: Conditions on a row (class, me) and a part (c, other): whether rows of the two parts may link, whether a part is the
+#: first of its class, and what the first blocks of many multiply.
+def _near() -> Column:
+    return F.abs(F.col("class") - F.col("c")) <= 1
+
+
+def _first(size_class: str, part: str) -> Column:
+    return F.col(part) == _part(F.col(size_class), F.lit(0).cast("long"))
+
+
+def _by_first_blocks() -> Column:
+    mine, its = _first("class", "me"), _first("c", "other")
+    return F.when(F.col("class") == F.col("c"), mine | its).otherwise(mine & its) | (F.col("me") == F.col("other"))
 
 
 def _sided(sent: DataFrame) -> DataFrame:
@@ -254,18 +266,16 @@ def _sided(sent: DataFrame) -> DataFrame:
     return sent.select("node", "family", F.least("me", "other").alias("left"), F.greatest("me", "other").alias("right"), (F.col("me") > F.col("other")).cast("int").alias("side"))
 
 
-def _first_blocks(placed: DataFrame) -> DataFrame:
+def _first_blocks(placed: DataFrame, parts: DataFrame) -> DataFrame:
     """Each part with itself and with the first part of its class, and the first parts of neighbouring classes."""
-    own = placed.select("node", "family", F.col("me").alias("left"), F.col("me").alias("right"), F.lit(0).alias("side"))
-    lead = _part(F.col("class"), F.lit(0).cast("long"))
-    later = placed.where(F.col("me") != lead).select("node", "family", lead.alias("left"), F.col("me").alias("right"), F.lit(1).alias("side"))
-    first = lambda p: p["me"] == _part(p["class"], F.lit(0).cast("long"))
-    wanted = lambda p: (p["me"] != F.col("me")) & _near(p) & ((p["class"] == F.col("class")) | first(p))
-    leads = placed.where(F.col("me") == lead).select("node", "family", "me", F.explode(F.filter("all", wanted)["me"]).alias("other"))
-    return own.union(later).union(_sided(leads))
+    first = _part(F.col("class"), F.lit(0).cast("long"))
+    later = placed.where(~_first("class", "me"))
+    own = _sided(placed.withColumn("other", F.col("me"))).union(_sided(later.withColumn("other", first)))
+    leads = placed.where(_first("class", "me")).join(parts, "family").where(_near() & (F.col("me") != F.col("other")) & _by_first_blocks())
+    return own.union(_sided(leads))
 
 
-def _open_blocks(placed: DataFrame, groups: DataFrame, columns: DataFrame) -> DataFrame:
+def _open_blocks(placed: DataFrame, parts: DataFrame, groups: DataFrame, columns: DataFrame) -> DataFrame:
     """The other products: blocks of rows that share one of `columns` with a row of another part.
 
     Rows of a family's largest group so far are settled among themselves, so they are only sent to parts in which
@@ -276,26 +286,19 @@ def _open_blocks(placed: DataFrame, groups: DataFrame, columns: DataFrame) -> Da
     sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("rows"))
     largest = sizes.groupBy("family").agg(F.max(F.struct("rows", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1")
     is_open = F.col("label") != F.col("most")
-    rows = checkpointed(labelled.join(largest, "family").select("node", "family", "class", "me", "all", is_open.alias("open")))
-    opened = rows.where("open").groupBy("family").agg(F.collect_set("me").alias("opened"))  # parts
-    entries = checkpointed(columns.join(rows.select("node", "family", "class", "me", "open", F.size("all").alias("parts")), "node").select("family", "h", "node", "class", "me", "open", "parts"))
-    met = entries.groupBy("family", "h", "class", "me").agg(F.max("open").alias("open"), F.first("parts").alias("parts"))
-    where = met.groupBy("family", "h").agg(F.collect_list(F.struct("class", "me", "open")).alias("met"), (2 * F.count("*") > F.first("parts")).alias("most"))
-    # A column met in one part only, or by settled rows only, makes no block.
-    where = where.where((F.size("met") > 1) & F.exists("met", lambda p: p["open"])).select("family", "h", F.when(~F.col("most"), F.col("met")).alias("met"))
-    lead = lambda c: _part(c, F.lit(0).cast("long"))
-
-    def other(p: Column) -> Column:
-        mine, its = F.col("me") == lead(F.col("class")), p["me"] == lead(p["class"])
-        done = F.when(F.col("class") == p["class"], mine | its).otherwise(mine & its)  # what _first_blocks() has
-        return _near(p) & (F.col("me") != p["me"]) & ~done
-
-    some = F.filter("met", lambda p: other(p) & (F.col("open") | p["open"]))["me"]
-    targets = F.when(F.col("met").isNull(), F.array(F.lit(None).cast("long"))).otherwise(some)
-    sent = checkpointed(entries.join(gated(checkpointed(where)), ["family", "h"]).select("node", "family", "me", F.explode(targets).alias("other")).distinct())
-    wide = sent.where("other is null").select("node")
-    everywhere = rows.join(wide, "node").join(opened, "family").select("node", "family", "me", F.explode(F.filter("all", lambda p: other(p) & (F.col("open") | F.array_contains("opened", p["me"])))["me"]).alias("other"))
-    narrow = sent.where("other is not null").join(wide, "node", "left_anti").select("node", "family", "me", "other")
+    rows = checkpointed(labelled.join(gated(checkpointed(largest)), "family").select("node", "family", "class", "me", "total", is_open.alias("open")))
+    entries = checkpointed(columns.join(rows, "node").select("family", "h", "node", "class", "me", "total", "open"))
+    met = entries.groupBy("family", "h", F.col("class").alias("c"), F.col("me").alias("other")).agg(F.max("open").alias("any_open"), F.first("total").alias("total"))
+    # A column met in one part only, or by settled rows only, makes no block; of one met in most parts no list is made.
+    per_column = met.groupBy("family", "h").agg(F.count("*").alias("parts"), F.max("any_open").alias("some"), F.first("total").alias("total"))
+    per_column = checkpointed(per_column.where("parts > 1 and some").select("family", "h", (2 * F.col("parts") > F.col("total")).alias("most")))
+    wide = checkpointed(entries.join(gated(per_column.where("most")), ["family", "h"]).select("node").distinct())
+    listed = checkpointed(met.join(gated(per_column.where("not most")), ["family", "h"]).select("family", "h", "c", "other", "any_open"))
+    fit = _near() & ~_by_first_blocks() & (F.col("open") | F.col("any_open"))
+    narrow = entries.join(gated(wide), "node", "left_anti").join(gated(listed), ["family", "h"]).where(fit).select("node", "family", "me", "other").distinct()
+    opened = rows.where("open").select("family", F.col("me").alias("other")).distinct().withColumn("any_open", F.lit(True))
+    known = checkpointed(parts.join(opened, ["family", "other"], "left").select("family", "c", "other", F.coalesce("any_open", F.lit(False)).alias("any_open")))
+    everywhere = rows.join(gated(wide), "node").join(gated(known), "family").where(fit).select("node", "family", "me", "other")
     return _sided(narrow.union(everywhere))
 
 
@@ -307,14 +310,14 @@ def _groups(members: DataFrame, columns: DataFrame, sets: DataFrame, law: Law) -
     if not large.head(1):
         return components(_multiplied(sets, whole(members), law))
     large = gated(large)
-    placed = checkpointed(_placed(members.join(large, "family", "left_semi"), law))
-    few = placed.where(F.size("all") <= MANY_PARTS).select("node", "family", "me", F.explode(F.filter("all", _near)["me"]).alias("other"))
+    placed, parts = _placed(members.join(large, "family", "left_semi"), law)
+    few = placed.where(F.col("total") <= MANY_PARTS).join(parts, "family").where(_near())
     blocks = whole(members.join(large, "family", "left_anti")).union(_sided(few))
-    many = placed.where(F.size("all") > MANY_PARTS)
+    many = placed.where(F.col("total") > MANY_PARTS)
     if not many.head(1):
         return components(_multiplied(sets, blocks, law))
-    edges = checkpointed(_multiplied(sets, blocks.union(_first_blocks(many)), law))
-    more = checkpointed(_open_blocks(many, components(edges), columns))
+    edges = checkpointed(_multiplied(sets, blocks.union(_first_blocks(many, parts)), law))
+    more = checkpointed(_open_blocks(many, parts, components(edges), columns))
     return components(edges.union(_multiplied(sets, more, law)) if more.head(1) else edges)
 
 
