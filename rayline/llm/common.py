@@ -46,9 +46,11 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def remove_at_end(spark: SparkSession, folder: str) -> None:
-    """Have a folder in the shared store deleted when the driver ends."""
+    """Make a folder in the shared store that is deleted when the driver ends."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)  # only what exists can be marked
+    store.deleteOnExit(path)
 
 
 def write_whole(path: str, pieces: Iterable[bytes]) -> None:
