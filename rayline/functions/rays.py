@@ -18,6 +18,8 @@ from .text import let
 SKIP, STEP, METRES_PER_PIXEL = 50, 1.0, 0.265
 #: Samples of a ray, and rays, that are looked at together.
 SAMPLES, RAYS_AT_ONCE = 64, 4096
+#: A sample this little below a pixel's edge counts as on it, so that the last bit of an angle does not decide.
+GUARD = 1e-9
 
 
 def is_road(r: Column, g: Column, b: Column) -> Column:
@@ -42,7 +44,7 @@ def scan_mask(angle: Column, road: Callable[[Column, Column], Column], width: in
     """
     if step <= 0:
         raise ValueError("step must be positive")
-    cell = lambda v: F.floor(v + 1e-9).cast("int")
+    cell = lambda v: F.floor(v + GUARD).cast("int")
     last = most_steps(width, height, skip, step)
 
     def along(d: Column) -> Column:
@@ -72,6 +74,7 @@ def stretches(last: int) -> list[tuple[int, int]]:
 def first_hits(pixels: np.ndarray, angles: np.ndarray, skip: int = SKIP, step: float = STEP, metres_per_pixel: float = METRES_PER_PIXEL) -> np.ndarray:
     """The same for many rays over one decoded image (height, width, channels in BGR order), adding step after step.
 
+    Pixels are guarded as in scan_mask(), so sums that end a last bit below an edge find the same pixel.
     Metres by ray; NaN where there is no road, and for an angle that is no number.
     """
     if step <= 0:
@@ -90,7 +93,8 @@ def first_hits(pixels: np.ndarray, angles: np.ndarray, skip: int = SKIP, step: f
             x[some], y[some] = xs[:, -1], ys[:, -1]  # where the next samples begin
             xs, ys = xs[:, :-1], ys[:, :-1]
             within = (xs >= 0) & (xs < width) & (ys >= 0) & (ys < height)
-            found = pixels[np.where(within, ys, 0).astype(np.intp), np.where(within, xs, 0).astype(np.intp)]
+            row, column = (np.minimum((np.where(within, v, 0) + GUARD).astype(np.intp), most - 1) for v, most in ((ys, height), (xs, width)))
+            found = pixels[row, column]
             road = within & (found[:, :, 1] > 200) & (found[:, :, 2] < 50) & (found[:, :, 0] < 50)
             at = road.argmax(axis=1)
             hit = road[np.arange(len(some)), at]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Settings
@@ -52,21 +54,27 @@ def with_targets(hits: DataFrame) -> DataFrame:
     )
 
 
-def scan_tiles(pairs: DataFrame, tiles: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def point_key(point: str) -> Column:
+    """What lookup tables call a point: its text."""
+    return coordinate_text(F.col(f"{point}.lat"), F.col(f"{point}.lon"))
+
+
+def scan_tiles(pairs: DataFrame, tiles: DataFrame, settings: Settings = Settings(), key: Callable[[str], Column] = point_key) -> DataFrame:
     """Scan both rays of each pair over the raster of its current position: adds `angles`, `error` and `hits`."""
     keyed = with_angles(pairs, settings.angle_offset)
-    return scan_rays(keyed, tiles, coordinate_text(F.col("current.lat"), F.col("current.lon")), F.col("angles.left"), F.col("angles.right"), settings)
+    return scan_rays(keyed, tiles, key("current"), F.col("angles.left"), F.col("angles.right"), settings)
 
 
-def detect(pairs: DataFrame, tiles: DataFrame, snaps: DataFrame, places: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def detect(pairs: DataFrame, tiles: DataFrame, snaps: DataFrame, places: DataFrame, settings: Settings = Settings(), key: Callable[[str], Column] = point_key) -> DataFrame:
     """The whole detection: adds target, chosen, road_name, alternative_road_name and error to each pair.
 
-    `pairs` has structs `previous` and `current`.  Lookup tables are keyed by point text and place id.  A lookup without
-    an answer is an unknown road, a missing raster an error.  The plan scans once and is a line from there: what the
-    scan found is joined to the names of its points, first the target's, then the alternative's.
+    `pairs` has structs `previous` and `current`.  Lookup tables are keyed by point text and place id; with `key`, by what
+    it makes of a struct's name and the pair's columns, so that pairs at one place can have answers of their own.  A lookup
+    without an answer is an unknown road, a missing raster an error.  Of several answers for a key one counts, so each pair
+    gives one row.  The plan scans once and is a line from there: what the scan found is joined to the names of its
+    points, first the target's, then the alternative's.
     """
-    scanned = with_targets(scan_tiles(pairs, tiles, settings))
-    key = lambda c: coordinate_text(F.col(f"{c}.lat"), F.col(f"{c}.lon"))
+    scanned = with_targets(scan_tiles(pairs, tiles, settings, key))
     # Rows without a point to look up match nothing; a key of their own each keeps them from meeting in one task.
     none = F.concat(F.lit("none "), F.col("_turn").cast("string"))
     keyed = scanned.withColumn("_turn", F.monotonically_increasing_id()).withColumns(

@@ -11,11 +11,13 @@ def point_names(snaps: DataFrame, places: DataFrame) -> DataFrame:
     """(point_key, place_id, road_name, lookup_error) for each point that has a snap response.
 
     A point without a place or a route has no name; a route whose name is missing is an error.  Bodies are parsed
-    before the join, so only ids and names travel.
+    before the join, so only ids and names travel.  Of several responses for a point, or for its place, one counts (one
+    with a place, and with a name, before others).
     """
     snapped = snaps.where("point_key is not null").select("point_key", snapped_place(F.col("body")).alias("place_id"))
     named = places.select("place_id", route_name(F.col("body")).alias("road_name"), F.when(route_without_name(F.col("body")), "route without a name").alias("lookup_error"))
-    return snapped.join(named, "place_id", "left").select("point_key", "place_id", "road_name", "lookup_error")
+    answer = F.max(F.struct("place_id", "road_name", "lookup_error")).alias("answer")
+    return snapped.join(named, "place_id", "left").groupBy("point_key").agg(answer).select("point_key", "answer.*")
 
 
 def resolve_names(points: DataFrame, snaps: DataFrame, places: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from rayline import cli, config, schema
+from rayline.functions import rays
 from rayline.functions.text import coordinate_text
 from rayline.operators import detect as d, scan
 from rayline.operators.evaluate import WRONG, evaluated, outcome_label, summary, summary_by
@@ -400,6 +401,38 @@ def test_outcome_windows(spark):
     assert got == {(0, "PASS", 2), (5, "FAIL", 1)}
 
 
+def test_answers_of_pairs_at_one_place(spark):
+    """Pairs that share a place keep their own answers if these have keys of their own; several answers are one."""
+    pixels = np.zeros((32, 32, 3), np.uint8)
+    pixels[:, 24:] = (0, 255, 0)
+    image = Row(origin="", height=32, width=32, nChannels=3, mode=16, data=bytearray(pixels.tobytes()))
+    s, at = config.Settings(skip_pixels=4), "struct<lat:double,lon:double>"
+    pairs = spark.createDataFrame([(i, (38.0, 23.999), (38.0, 24.0)) for i in range(4)], f"id long, previous {at}, current {at}")
+    own = lambda p: F.concat(F.col("id").cast("string"), F.lit(" "), d.point_key(p))
+    tiles = lambda keys: spark.createDataFrame([(k, image) for k in keys], schema.TILES)
+    body = lambda i: json.dumps({"snappedPoints": [{"originalIndex": 0, "placeId": f"id{i}"}]})
+    name = lambda i: json.dumps({"results": [{"address_components": [{"long_name": f"Road {i}", "types": ["route"]}]}]})
+    places = spark.createDataFrame([(f"id{i}", name(i)) for i in range(4)] * 2, "place_id string, body string")
+
+    def found(key, with_raster, snapped):
+        rasters = tiles(with_raster)
+        target = d.with_targets(d.scan_tiles(pairs, rasters, s, key)).where("found").select("id", key("target").alias("k")).collect()
+        snaps = spark.createDataFrame([(r["k"], body(r["id"])) for r in target if r["id"] in snapped] * 2, "point_key string, body string")
+        return sorted((r["id"], r["road_name"], r["error"]) for r in d.detect(pairs, rasters, snaps, places, s, key).collect())
+
+    want = [(0, None, scan.MISSING), (1, "Road 1", None), (2, None, None), (3, "Road 3", None)]
+    assert found(own, [f"{i} 38.0,24.0" for i in (1, 2, 3)], (1, 3)) == want
+    assert found(d.point_key, ["38.0,24.0"] * 2, (1, 3)) == [(i, "Road 3", None) for i in range(4)]
+
+
+def test_samples_on_the_edge_of_a_pixel():
+    """Straight up, sums of steps end a last bit beside the middle: the pixel is the one right of it."""
+    pixels = np.zeros((32, 32, 3), np.uint8)
+    pixels[:, 16] = (0, 255, 0)
+    angles = np.array([0.0, 180.0, 360.0 - 1e-13, 180.0 + 1e-13])
+    assert rays.first_hits(pixels, angles, 4, 1.0, 1.0).tolist() == [4.0] * 4
+
+
 def test_sweep_and_overlay_layers(spark):
     rows = spark.createDataFrame([((38.0, 23.999), (38.0, 24.0))], "previous struct<lat:double,lon:double>, current struct<lat:double,lon:double>")
     got = {r["offset"]: r["metres"] for r in d.sweep(rows, lambda x, y: x >= 290, 400, 400, [-90, 0, 90]).collect()}
