@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Tasks a core when rows are spread for work in Python.
+TASKS_A_CORE = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out to all cores if it comes in fewer parts: a small file is one part however long its rows take."""
+    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def gated(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast `df` if its counted rows are at most `most`; otherwise leave the join to shuffle.
 

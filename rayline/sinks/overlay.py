@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -47,43 +47,76 @@ class Canvas:
     """Draws on an RGB array; what lies outside is cut off."""
 
     def __init__(self, pixels: np.ndarray) -> None:
-        self.p = pixels.copy()
+        self.p = np.array(pixels, order="C")
+        self.flat = [self.p.reshape(-1)[c::3] for c in range(3)]
 
     def dots(self, x: np.ndarray, y: np.ndarray, colour: tuple) -> None:
-        x, y = np.asarray(x), np.asarray(y)
-        ok = (x >= 0) & (y >= 0) & (x < self.p.shape[1]) & (y < self.p.shape[0])
-        self.p[y[ok], x[ok]] = colour
+        height, width = self.p.shape[:2]
+        if x.min() < 0 or y.min() < 0 or x.max() >= width or y.max() >= height:
+            ok = (x >= 0) & (y >= 0) & (x < width) & (y < height)
+            x, y = x[ok], y[ok]
+        at = y * width + x
+        for channel, value in enumerate(colour):
+            self.flat[channel][at] = value
 
     def line(self, x1: int, y1: int, x2: int, y2: int, colour: tuple) -> None:
-        n = max(abs(x2 - x1), abs(y2 - y1)) + 1
-        x, y = np.rint(np.linspace(x1, x2, n)).astype(int), np.rint(np.linspace(y1, y2, n)).astype(int)
-        for dx, dy in ((0, 0), (1, 0), (0, 1)):
-            self.dots(x + dx, y + dy, colour)
+        self.dots(*line_dots(x1, y1, x2, y2), colour)
 
     def ring(self, x: int, y: int, radius: int, colour: tuple) -> None:
-        a = np.linspace(0, 2 * math.pi, 16 * radius)
-        for r in (radius, radius + 1):
-            self.dots(np.rint(x + r * np.cos(a)).astype(int), np.rint(y + r * np.sin(a)).astype(int), colour)
+        dx, dy = ring_steps(radius)
+        self.dots(np.rint(x + dx).astype(int), np.rint(y + dy).astype(int), colour)
 
     def disc(self, x: int, y: int, radius: int, colour: tuple) -> None:
-        dy, dx = np.mgrid[-radius : radius + 1, -radius : radius + 1]
-        on = dx**2 + dy**2 <= radius**2
-        self.dots(x + dx[on], y + dy[on], colour)
+        dx, dy = disc_steps(radius)
+        self.dots(x + dx, y + dy, colour)
 
     def shade(self, x: int, y: int, w: int, h: int, alpha: int) -> None:
         part = self.p[max(0, y) : max(0, y + h), max(0, x) : max(0, x + w)]
-        part[:] = part.astype(np.uint16) * (255 - alpha) // 255
+        part[:] = (np.arange(256) * (255 - alpha) // 255).astype(np.uint8)[part]
 
     def text(self, x: int, y: int, text: str, colour: tuple, size: int = 2) -> None:
-        if text:
-            on_y, on_x = np.nonzero(np.kron(np.concatenate([glyph(c) for c in text.upper()], axis=1), np.ones((size, size), bool)))
+        on_x, on_y = text_dots(text.upper(), size)
+        if len(on_x):
             self.dots(x + on_x, y + on_y, colour)
 
 
+@lru_cache(2048)
+def line_dots(x1: int, y1: int, x2: int, y2: int) -> tuple[np.ndarray, np.ndarray]:
+    """A line two dots wide; arrows of one length have few ends, so most are known."""
+    n = max(abs(x2 - x1), abs(y2 - y1)) + 1
+    x, y = np.rint(np.linspace(x1, x2, n)).astype(int), np.rint(np.linspace(y1, y2, n)).astype(int)
+    return np.concatenate([x, x + 1, x]), np.concatenate([y, y, y + 1])
+
+
+@cache
+def ring_steps(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the centre to a ring two dots wide."""
+    a = np.linspace(0, 2 * math.pi, 16 * radius)
+    return tuple(np.concatenate([r * part(a) for r in (radius, radius + 1)]) for part in (np.cos, np.sin))
+
+
+@cache
+def disc_steps(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the centre to all dots of a disc."""
+    dy, dx = np.mgrid[-radius : radius + 1, -radius : radius + 1]
+    on = dx**2 + dy**2 <= radius**2
+    return dx[on], dy[on]
+
+
+@lru_cache(512)
+def text_dots(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A line's dots; most lines of captions are met again."""
+    dots = [glyph(FONT.get(c, "77777"), size) for c in text]
+    none = np.empty(0, int)
+    return np.concatenate([none, *(x + i * 4 * size for i, (x, _) in enumerate(dots))]), np.concatenate([none, *(y for _, y in dots)])
+
+
 @cache
-def glyph(c: str) -> np.ndarray:
-    """A character's dots with a column of space after it."""
-    return np.array([[bits >> 2 & 1, bits >> 1 & 1, bits & 1, 0] for bits in map(int, FONT.get(c, "77777"))], bool)
+def glyph(rows: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A character's dots, each a square of `size`; a column of space comes after it."""
+    dots = np.array([[bits >> 2 & 1, bits >> 1 & 1, bits & 1, 0] for bits in map(int, rows)], bool)
+    on_y, on_x = np.nonzero(np.kron(dots, np.ones((size, size), bool)))
+    return on_x, on_y
 
 
 def draw(pixels: np.ndarray, heading: float, hits: list[tuple[int, int, tuple, str]], caption: list[str]) -> np.ndarray:
