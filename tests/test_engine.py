@@ -433,6 +433,15 @@ def test_samples_on_the_edge_of_a_pixel():
     assert rays.first_hits(pixels, angles, 4, 1.0, 1.0).tolist() == [4.0] * 4
 
 
+def test_rows_without_filters_from_both_sides_are_decoded_whole(monkeypatch):
+    """Filters none, left and above need no diagonals; a mix with the others gives the same bytes."""
+    rng = np.random.default_rng(3)
+    rows, kinds = rng.integers(0, 256, (9, 6, 3)).astype(np.uint8), rng.integers(0, 3, 9).astype(np.uint8)
+    mixed = images.unfiltered(np.concatenate([rows, rows[:1]]), np.append(kinds, np.uint8(4)))[:-1]
+    monkeypatch.setattr(images.np, "select", None)
+    assert (images.unfiltered(rows, kinds) == mixed).all()
+
+
 def test_sweep_and_overlay_layers(spark):
     rows = spark.createDataFrame([((38.0, 23.999), (38.0, 24.0))], "previous struct<lat:double,lon:double>, current struct<lat:double,lon:double>")
     got = {r["offset"]: r["metres"] for r in d.sweep(rows, lambda x, y: x >= 290, 400, 400, [-90, 0, 90]).collect()}
