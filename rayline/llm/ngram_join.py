@@ -22,12 +22,13 @@ All of it is exact: no cap on partners, candidates or column frequencies.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import BROADCAST_ROWS, Batches, as_bytes, checkpointed, fresh, gated, text_or_empty, tidy
 from .components import components
@@ -302,8 +303,12 @@ def _open_blocks(placed: DataFrame, parts: DataFrame, groups: DataFrame, columns
     return _sided(narrow.union(everywhere))
 
 
-def _groups(members: DataFrame, columns: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
-    """(node, label) of the linked members; `members` has node, n and family, `columns` node and h, `sets` node and cols."""
+def _groups(members: DataFrame, columns: DataFrame, sets_of: Callable[[DataFrame], DataFrame], law: Law) -> DataFrame:
+    """(node, label) of the linked members.
+
+    `members` has node, n, family, digest and head, `columns` node and h; `sets_of` some members gives their node and cols.
+    """
+    sets = sets_of(members)
     whole = lambda df: df.select("node", "family", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).alias("side"))
     per_family = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
     large = checkpointed(per_family.where(_parts("rows", "entries") > 1).select("family"))
@@ -318,7 +323,11 @@ def _groups(members: DataFrame, columns: DataFrame, sets: DataFrame, law: Law) -
         return components(_multiplied(sets, blocks, law))
     edges = checkpointed(_multiplied(sets, blocks.union(_first_blocks(many, parts)), law))
     more = checkpointed(_open_blocks(many, parts, components(edges), columns))
-    return components(edges.union(_multiplied(sets, more, law)) if more.head(1) else edges)
+    if not more.head(1):
+        return components(edges)
+    # Whole sets are made again, and sent, only of the rows that the second step multiplies.
+    again = checkpointed(members.join(gated(checkpointed(more.select("node").distinct())), "node", "left_semi"))
+    return components(edges.union(_multiplied(sets_of(again), more, law)))
 
 
 def jaccard_components(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,8 +361,9 @@ def _labelled(df: DataFrame, law: Law, id_col: str, text_col: str, marked: bool
     # Rows that share enough of their leading columns with any other row.  Of these columns, all but the last
     # `shared - 1` in order of frequency suffice: partners share one of them at least, and frequent columns stay out.
     entries = docs.select("row", F.explode("cols").alias("h"))
-    repeated = entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = entries.join(repeated, "h").groupBy("row").agg(F.collect_list(F.struct("rows", "h")).alias("met"))
+    # Columns are counted where they meet, by a window: a table of counts would be shuffled besides the entries.
+    repeated = entries.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1")
+    met = repeated.groupBy("row").agg(F.collect_list(F.struct("rows", "h")).alias("met"))
     shared = F.floor(F.ceil(F.col("n") * law.num / law.den) / SPARE).cast("int") + 1
     small = docs.select("row", "doc_id", "n", "digest")
     surviving = small.join(met, "row").where(F.size("met") >= shared)
@@ -367,10 +377,12 @@ def _labelled(df: DataFrame, law: Law, id_col: str, text_col: str, marked: bool
     families = components(columns.join(centres, "h").select(F.col("node").alias("a"), F.col("centre").alias("b")))
     members = checkpointed(heads.select("node", "n", "digest", "head").join(families.select("node", F.col("label").alias("family")), "node"))
 
-    wanted = gated(members.select(F.col("head").alias("_head")).distinct())
-    whole = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_head")), "left_semi").mapInArrow(tidy(_sets(law, whole=True)), SETS)
-    sets = whole.where("digest is not null").join(members.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "cols")
-    groups = _groups(members.select("node", "n", "family"), columns, sets, law)
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = gated(some.select(F.col("head").alias("_head")).distinct())
+        whole = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_head")), "left_semi").mapInArrow(tidy(_sets(law, whole=True)), SETS)
+        return whole.where("digest is not null").join(some.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "cols")
+
+    groups = _groups(members, columns, sets_of, law)
 
     # Components of sets, named by the smallest identifier of all rows that have one of the sets.  A set of one row
     # without links has a component of its own and need not be named.

@@ -107,6 +107,17 @@ def test_jaccard_of_a_long_chain_and_a_large_group(spark, monkeypatch, many):
         assert got == brute_components(rows, law.words, law.num, law.den)
 
 
+def test_leading_columns_travel_once(spark, monkeypatch):
+    """Columns are counted where they meet: heads come from one list of them, not from a list and a table of counts."""
+    plans, real = [], ngram_join.checkpointed
+    monkeypatch.setattr(ngram_join, "checkpointed", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or real(df))
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, text + " x"), (3, "some other words of a text"), (4, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    (plan,) = [p for columns, p in plans if "rare" in columns]
+    assert plan.count("Generate explode(cols") == 1
+
+
 def test_products_of_two_sides():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
